@@ -138,3 +138,19 @@ def register_keywords(articles: DataFrame, text_col: str = "title",
 
 __all__ = ["append_source", "empty_store", "get_or_create_sources", "enrich",
            "write_back_scores", "purge", "upsert", "register_keywords"]
+
+
+def fold_alt_sources(df: DataFrame, key: str = "content_hash", source: str = "source",
+                     order: str = "id") -> DataFrame:
+    """F12 + J8 over groups of copies: per ``key`` the number of copies and the
+    comma list of their sources in first-appearance order.
+
+    Only distinct ``(key, source)`` pairs reach the per-key list, so a key with
+    millions of copies still folds a list bounded by the number of sources.
+    """
+    firsts = df.groupBy(key, source).agg(F.min(order).alias("_first"))
+    lists = firsts.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_first", source))).alias("_l"))
+    lists = lists.select(key, fold_sources(F.lit(""), F.transform("_l", lambda x: x[source])).alias("alt_sources"))
+    copies = df.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    return copies.join(lists, key)

@@ -82,3 +82,37 @@ def load_all() -> dict[str, Query]:
     from . import analytics, cleaning, textual, similarity, streams  # noqa: F401
 
     return REGISTRY
+
+
+# SQL twins of the text functions (same regular expressions).
+def _ws() -> str:
+    from ..functions.text import WS
+
+    return WS
+
+
+def clean_sql(expr: str) -> str:
+    return f"trim(regexp_replace(coalesce({expr}, ''), '{_ws()}+', ' ', 'g'))"
+
+
+def norm_sql(expr: str) -> str:
+    return (f"lower(trim(regexp_replace(regexp_replace(coalesce({expr}, ''), '<[^>]+>', '', 'g'), "
+            f"'{_ws()}+', ' ', 'g')))")
+
+
+def hash_sql(expr: str) -> str:
+    n = norm_sql(expr)
+    return f"(CASE WHEN {n} = '' THEN '' ELSE sha256({n}) END)"
+
+
+FOLD_SQL = ("lambda acc, x: CASE WHEN x IS NULL THEN acc WHEN acc IS NULL OR acc = '' THEN x "
+            "WHEN instr(acc, x) > 0 THEN acc ELSE acc || ',' || x END")
+
+
+def stop_sql() -> str:
+    from ..functions.stopwords import ENGLISH_STOPWORDS
+
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(ENGLISH_STOPWORDS))
+
+
+TOKEN_SQL = r"[\p{L}\p{N}_]{2,}"
