@@ -110,16 +110,16 @@ def tokens(col: str | Column, stopwords: Iterable[str] = ()) -> Column:
     stop = sorted(set(stopwords))
     if not stop:
         return toks
-    stop_arr = F.array(*[F.lit(s) for s in stop])
-    return F.filter(toks, lambda t: ~F.array_contains(stop_arr, t))
+    # ``isin`` with many literals becomes a hash-set lookup (InSet)
+    return F.filter(toks, lambda t: ~t.isin(stop))
 
 
 def title_words(col: str | Column) -> Column:
     """whitespace split; keep raw length > 2 and lower not a stop word;
     then strip punctuation from both ends (may leave '')."""
     words = F.split(F.trim(collapse_ws(F.coalesce(_c(col), F.lit("")))), " ")
-    stop_arr = F.array(*[F.lit(s) for s in TITLE_STOPWORDS])
-    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop_arr, F.lower(w)))
+    stop = list(TITLE_STOPWORDS)
+    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~F.lower(w).isin(stop))
     cls = "[" + TITLE_STRIP_CHARS.replace("\\", "\\\\") + "]"
     return F.transform(kept, lambda w: F.regexp_replace(w, f"^{cls}+|{cls}+$", ""))
 
