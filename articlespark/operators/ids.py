@@ -4,8 +4,13 @@
 does the same numbering the distributed way (like ``zipWithIndex`` after a
 sort): range-partition on the order key, number rows inside each partition,
 and add the partition's offset -- a prefix sum over one small row per
-partition.  The order key must be unique so the numbering is deterministic
-when a lost partition is recomputed.
+partition.  The order key must be unique.
+
+The range-partitioned rows are checkpointed (written to the shared checkpoint
+folder) before numbering: the partition id is then a stored column, so the
+per-partition counts and the in-partition numbers come from the very same
+partitions, and a lost executor re-reads them instead of re-sampling ranges
+over a differently ordered input.
 """
 
 from __future__ import annotations
@@ -13,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def dense_ids(df: DataFrame, order: list[str], id_col: str = "id",
               start: Column | int = 1, partitions: int | None = None) -> DataFrame:
     """Adds ``id_col`` = ``start + rank - 1`` with rank by ``order`` (unique)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

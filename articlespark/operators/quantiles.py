@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def ranked_histogram(df: DataFrame, group: str, value: str,
                      partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,8 +37,11 @@ def ranked_histogram(df: DataFrame, group: str, value: str,
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))
     n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    # checkpointed so the stored partition id is the same for every consumer
     ranged = (hist.repartitionByRange(n_parts, group, value)
-              .withColumn("_pid", F.spark_partition_id()))
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint())
     w_in = (Window.partitionBy("_pid", group).orderBy(value)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_cum_local", F.sum("c").over(w_in))
