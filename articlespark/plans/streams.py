@@ -1 +1,92 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming and export queries.
+
+Streams read the driver's parquet tables as a file source (the table's file
+is picked out of its folder with ``pathGlobFilter``), run to completion with
+``availableNow`` and write under the shared checkpoint folder; the query
+returns the written result read back, so it must equal the batch SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import first_line
+from ..session import scratch_path
+from ..sources.sinks import EXPORT_COLUMNS, daily_report, export_json, read_report_detail
+from ..sources.tables import EPOCH_2024, articles_view, read_table
+from ..streaming import ingest as st
+from .registry import ARTICLES_CTE, EVENTS_CTE, day_text, hash_sql, r6, register, ts_text
+
+
+@register("stream_daily", "X1,X3,A4", f"""
+WITH {EVENTS_CTE.strip()}
+SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, round(avg(score), 6) AS avg_score,
+       count_if(score > 0.1) AS pos, count_if(score < -0.1) AS neg, count(score) AS total,
+       round(count_if(score > 0.1) / count(score)::DOUBLE, 6) AS pos_ratio,
+       round(count_if(score < -0.1) / count(score)::DOUBLE, 6) AS neg_ratio
+FROM ev WHERE ts IS NOT NULL GROUP BY ts::DATE""")
+def q_stream_daily(spark, sf_dir):
+    out, ckpt = st.run_dir(spark, "stream_daily")
+    events = st.file_stream(spark, sf_dir, st.EVENTS_SCHEMA, glob="events.parquet")
+    scored = events.select("ts", ((F.col("value") - 50) / 100.0).alias("score"))
+    st.stream_daily_sentiment(scored, out, ckpt)
+    res = st.latest_windows(spark, out)
+    return res.select(day_text("day").alias("day"), r6("avg_score").alias("avg_score"), "pos", "neg", "total",
+                      r6("pos_ratio").alias("pos_ratio"), r6("neg_ratio").alias("neg_ratio"))
+
+
+DOCS_SCHEMA = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType()),
+])
+
+
+@register("stream_ingest", "X1,X2,D1,D4", f"""
+SELECT doc_id AS seq, {hash_sql('text')} AS content_hash FROM documents
+QUALIFY row_number() OVER (PARTITION BY {hash_sql('text')} ORDER BY doc_id) = 1""")
+def q_stream_ingest(spark, sf_dir):
+    store, ckpt = st.run_dir(spark, "stream_ingest")
+    docs = st.file_stream(spark, sf_dir, DOCS_SCHEMA, glob="documents.parquet")
+    raw = docs.select(
+        F.col("doc_id").alias("seq"), first_line("text").alias("title"), F.col("text").alias("content"),
+        "source", F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("doc_id") * 3600).alias("ingested_at"))
+    st.stream_exact_ingest(raw, store, ckpt, horizon_days=100_000)
+    return spark.read.parquet(store).select("seq", "content_hash")
+
+
+@register("snapshot_digest", "X4,A13", """
+SELECT count(*) AS n_rows,
+       CAST(coalesce(sum(('0x' || substr(sha256(concat_ws(chr(1), coalesce(CAST(doc_id AS VARCHAR), chr(2)),
+                                                           coalesce(text, chr(2)))), 1, 15))::BIGINT), 0)
+            AS VARCHAR) AS digest
+FROM documents""")
+def q_snapshot_digest(spark, sf_dir):
+    return st.snapshot_digest(read_table(spark, sf_dir, "documents"), ["doc_id", "text"])
+
+
+@register("report_detail_export", "S12,S9,D9,P11", f"""
+WITH {ARTICLES_CTE.strip()}
+SELECT title, source, category, sentiment_score, strftime(date, '%Y-%m-%d %H:%M:%S') AS date
+FROM articles""")
+def q_report_detail_export(spark, sf_dir):
+    prefix = scratch_path(spark, "daily_report") + "/daily_report"
+    daily_report(articles_view(spark, sf_dir), prefix, "2024-02-15")
+    back = read_report_detail(spark, f"{prefix}_details_2024-02-15")
+    return back.withColumn("date", ts_text("date"))
+
+
+@register("articles_json_export", "S8,S11,F18", f"""
+WITH {ARTICLES_CTE.strip()}
+SELECT title, NULL::VARCHAR AS url, content, source, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, category,
+       sentiment_score
+FROM articles""")
+def q_articles_json_export(spark, sf_dir):
+    path = scratch_path(spark, "articles_json")
+    arts = articles_view(spark, sf_dir).withColumn("url", F.lit(None).cast("string"))
+    export_json(arts, path, EXPORT_COLUMNS)
+    back = spark.read.schema(
+        "title string, url string, content string, source string, date timestamp, category string, "
+        "sentiment_score double").json(path)
+    return back.withColumn("date", ts_text("date"))
