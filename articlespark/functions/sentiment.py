@@ -82,8 +82,9 @@ def score_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "content",
     per_doc = (toks.join(lex, keys)
                .groupBy(id_col).agg(F.avg("polarity").alias("_pol")))
     return (df.join(per_doc, id_col, "left")
-            .withColumn(out_col, F.coalesce(F.least(F.greatest(F.col("_pol"), F.lit(-1.0)), F.lit(1.0)),
-                                            F.lit(0.0)))
+            # coalesce first: greatest/least skip NULLs
+            .withColumn(out_col, F.least(F.greatest(F.coalesce(F.col("_pol"), F.lit(0.0)), F.lit(-1.0)),
+                                         F.lit(1.0)))
             .drop("_pol"))
 
 
@@ -94,4 +95,6 @@ def score_with(df: DataFrame, scorer: Callable, text_col: str = "content",
     NULL / empty texts score 0.0 without calling it; a NULL result -> 0.0."""
     t = F.col(text_col)
     empty = t.isNull() | (t == "")
-    return df.withColumn(out_col, F.when(empty, F.lit(0.0)).otherwise(F.coalesce(scorer(t), F.lit(0.0))))
+    # Python UDFs run before any CASE around them, so split the rows instead.
+    scored = df.where(~empty).withColumn(out_col, F.coalesce(scorer(t), F.lit(0.0)))
+    return scored.unionByName(df.where(empty).withColumn(out_col, F.lit(0.0)))
