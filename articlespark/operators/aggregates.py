@@ -2,7 +2,7 @@
 
 Each function takes DataFrames and returns a DataFrame; nothing is collected.
 Scores: ``> 0.1`` positive, ``< -0.1`` negative (the reference's thresholds).
-Averages are rounded with ``digits`` (the reference shows 4); percentages of
+Averages are rounded half-even (F17) with ``digits`` (the reference shows 4); percentages of
 counts are rounded exactly from the integer ratio (half-even, like Python's
 ``round`` on the exact quotient), so the result never depends on float noise.
 """
@@ -53,7 +53,7 @@ def store_stats(articles: DataFrame, sources: DataFrame, keywords: DataFrame,
         "total_articles",
         sources.select(F.count(F.lit(1))).scalar().alias("total_sources"),
         keywords.select(F.count(F.lit(1))).scalar().alias("total_keywords"),
-        F.coalesce(F.round("_avg", digits), F.lit(0.0)).alias("avg_sentiment"),
+        F.coalesce(F.bround("_avg", digits), F.lit(0.0)).alias("avg_sentiment"),
         "pos_count", "neg_count",
         (F.col("total_articles") - F.col("pos_count") - F.col("neg_count")).alias("neut_count"),
     )
@@ -77,7 +77,7 @@ def report_summary(df: DataFrame, report_date: str, digits: int = 4,
     s = F.col("sentiment_score")
     agg = df.agg(
         F.count(F.lit(1)).alias("total_articles"),
-        F.round(F.avg(s), digits).alias("average_sentiment"),
+        F.bround(F.avg(s), digits).alias("average_sentiment"),
         F.countDistinct("source").alias("sources_analyzed"),
         F.count_if(s > POS).alias("positive"),
         F.count_if((s >= NEG) & (s <= POS)).alias("neutral"),
@@ -202,3 +202,20 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
 def distinct_sources(df: DataFrame) -> DataFrame:
     """Sorted distinct non-null source names."""
     return df.select("source").where(F.col("source").isNotNull()).distinct().orderBy("source")
+
+
+def dashboard_bundle(articles: DataFrame, sources: DataFrame, keywords: DataFrame,
+                     article_keywords: DataFrame) -> dict[str, DataFrame]:
+    """The main dashboard's data -- lazily planned frames over one cached
+    article set; keyword frequency falls back to title words when the
+    keyword tables are empty (checked with one ``isEmpty`` job)."""
+    arts = articles.cache()
+    kw_freq = (title_word_counts(arts) if keywords.isEmpty()
+               else keyword_frequency(keywords, article_keywords))
+    return {
+        "stats": store_stats(arts, sources, keywords),
+        "timeline": daily_sentiment_ratio(arts),
+        "sources": source_comparison(arts),
+        "categories": category_share(arts),
+        "keywords": kw_freq,
+    }

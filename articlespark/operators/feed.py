@@ -118,3 +118,18 @@ def feed_counters(df: DataFrame, limit: int = 50, **filters) -> DataFrame:
 def hero_counters(df: DataFrame) -> DataFrame:
     """A15 (cards): number of articles and of distinct sources."""
     return df.agg(F.count(F.lit(1)).alias("articles"), F.countDistinct("source").alias("sources"))
+
+
+def card_fields(df: DataFrame) -> DataFrame:
+    """F19 + F6 (cards policy): browser-card defaults -- empty/NULL category
+    reads 'NEWS', NULL score reads 0, label at +-0.2."""
+    score = F.coalesce(F.col("sentiment_score"), F.lit(0.0))
+    return df.select(
+        "id", "title", "source",
+        F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("NEWS")).alias("category"),
+        score.alias("score"), sentiment_label(score, 0.2).alias("label"))
+
+
+def sort_as_text(df: DataFrame, col: str) -> DataFrame:
+    """Order by the string form of a column (mixed-type sort)."""
+    return df.orderBy(F.col(col).cast("string"))

@@ -111,7 +111,7 @@ def q_sentiment_index(spark, sf_dir):
     return agg.sentiment_index(stats)
 
 
-@register("report_summary", "A2,D9,P11", f"""
+@register("report_summary", "A2,D9,P11,F17", f"""
 WITH {ARTICLES_CTE.strip()}
 SELECT '2024-02-15' AS report_date, count(*) AS total_articles,
        round(avg(sentiment_score), 6) AS average_sentiment,

@@ -86,7 +86,7 @@ def q_feed_page(spark, sf_dir):
     return feed.feed_page(articles_view(spark, sf_dir), NOW, 50, search=SEARCH, bucket="Positive")
 
 
-@register("feed_counters", "A15", f"""
+@register("feed_counters", "A15,G3", f"""
 WITH {ARTICLES_CTE.strip()},
 f AS (SELECT * FROM articles
       WHERE (coalesce(regexp_matches(title, '{SEARCH}', 'i'), false)
@@ -146,7 +146,7 @@ p2 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY content_hash ORD
 SELECT seq, title, source, content_hash FROM p2"""
 
 
-@register("exact_dedupe", "D1,W1,F2,F3,F4", _D1_SQL.format(
+@register("exact_dedupe", "D1,W1,F2,F3,F4,S5,G4", _D1_SQL.format(
     title="substr(split_part(text, chr(10), 1), 1, 80)", hash=hash_sql("text"), norm=norm_sql("title")))
 def q_exact_dedupe(spark, sf_dir):
     out = dedupe.exact_deduplicate(_dedupe_input(spark, sf_dir, "first_line"))
@@ -254,3 +254,33 @@ def q_alt_sources_fold(spark, sf_dir):
 
 
 __all__ = ["source_language", "Window", "day_text"]
+
+
+@register("recent_window", "P4,P10", f"""
+WITH {ARTICLES_CTE.strip()}
+SELECT id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM articles
+WHERE date >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 72 HOUR""")
+def q_recent_window(spark, sf_dir):
+    """The 72-hour look-back of the dedupe and merge jobs, ``now`` fixed."""
+    df = feed.recent(articles_view(spark, sf_dir), "2024-01-20 12:00:00", hours=72)
+    return df.select("id", ts_text("date").alias("date"))
+
+
+@register("search_literal", "P7b", f"""
+WITH {ARTICLES_CTE.strip()}
+SELECT id, title, source FROM articles
+WHERE coalesce(instr(lower(title), 'the') > 0, false) OR coalesce(instr(lower(source), 'the') > 0, false)""")
+def q_search_literal(spark, sf_dir):
+    df = feed.search_filter(articles_view(spark, sf_dir), "the", columns=("title", "source"), literal=True)
+    return df.select("id", "title", "source")
+
+
+@register("feed_cards", "F19,F6,A15", f"""
+WITH {ARTICLES_CTE.strip()}
+SELECT id, title, source, coalesce(nullif(category, ''), 'NEWS') AS category,
+       coalesce(sentiment_score, 0.0) AS score,
+       CASE WHEN coalesce(sentiment_score, 0.0) > 0.2 THEN 'positive'
+            WHEN coalesce(sentiment_score, 0.0) < -0.2 THEN 'negative' ELSE 'neutral' END AS label
+FROM articles""")
+def q_feed_cards(spark, sf_dir):
+    return feed.card_fields(articles_view(spark, sf_dir))

@@ -19,7 +19,7 @@ from ..streaming import ingest as st
 from .registry import ARTICLES_CTE, EVENTS_CTE, day_text, hash_sql, r6, register, ts_text
 
 
-@register("stream_daily", "X1,X3,A4", f"""
+@register("stream_daily", "X1,X3,A4,S13", f"""
 WITH {EVENTS_CTE.strip()}
 SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, round(avg(score), 6) AS avg_score,
        count_if(score > 0.1) AS pos, count_if(score < -0.1) AS neg, count(score) AS total,

@@ -128,3 +128,14 @@ def test_title_word_counts_tie_order(spark):
     got = [tuple(r) for r in agg.title_word_counts(df).collect()]
     # newest article (id 2) is read first: Gamma before Alpha on ties
     assert got == [("Beta", 2), ("Gamma", 1), ("Alpha", 1)]
+
+
+def test_sort_as_text_and_bundle(spark, store3):
+    df = spark.createDataFrame([("BBC",), (None,), ("123",), ("VnExpress",), ("45.6",)], "v string")
+    assert [r.v for r in feed.sort_as_text(df, "v").collect()] == [None, "123", "45.6", "BBC", "VnExpress"]
+    arts, sources = store3
+    kw = spark.createDataFrame([], "id long, keyword string")
+    ak = spark.createDataFrame([], "article_id long, keyword_id long")
+    b = agg.dashboard_bundle(arts, sources, kw, ak)
+    assert set(b) == {"stats", "timeline", "sources", "categories", "keywords"}
+    assert b["stats"].first().total_articles == 3 and b["keywords"].count() > 0
