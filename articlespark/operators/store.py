@@ -148,9 +148,9 @@ def fold_alt_sources(df: DataFrame, key: str = "content_hash", source: str = "so
     Only distinct ``(key, source)`` pairs reach the per-key list, so a key with
     millions of copies still folds a list bounded by the number of sources.
     """
-    firsts = df.groupBy(key, source).agg(F.min(order).alias("_first"))
+    firsts = df.groupBy(key, source).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
     lists = firsts.groupBy(key).agg(
+        F.sum("_n").alias("copies"),
         F.sort_array(F.collect_list(F.struct("_first", source))).alias("_l"))
-    lists = lists.select(key, fold_sources(F.lit(""), F.transform("_l", lambda x: x[source])).alias("alt_sources"))
-    copies = df.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
-    return copies.join(lists, key)
+    return lists.select(key, "copies",
+                        fold_sources(F.lit(""), F.transform("_l", lambda x: x[source])).alias("alt_sources"))

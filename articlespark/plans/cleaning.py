@@ -177,7 +177,8 @@ def _split_store_batch(spark, sf_dir):
     arts = (articles_view(spark, sf_dir)
             .join(t["sources"].select(F.col("name").alias("source"), F.col("id").alias("source_id")), "source")
             .withColumn("content_hash", content_hash("content"))
-            .withColumn("url", F.lit(None).cast("string")))
+            .withColumn("url", F.lit(None).cast("string"))
+            .checkpoint())  # hashed once; store and batch branches all read it
     secs = F.unix_seconds("date")
     mid2 = arts.select(F.min(secs) + F.max(secs)).scalar()
     store = dedupe.keep_first(arts.where(secs * 2 < mid2).withColumn("alt_sources", F.lit("")),
