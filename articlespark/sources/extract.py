@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import absolutize_url, clean_text
+from ..session import ship_package
 
 
 @dataclass(frozen=True)
@@ -219,6 +220,7 @@ def extract_articles(pages: DataFrame, rules: Sequence[ExtractRule] = SITE_RULES
     absolutised for rules that ask for it (F10).
     """
     rules = tuple(rules)
+    ship_package(pages.sparkSession)  # workers import parse_page from this package
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
