@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stopwords import ENGLISH_STOPWORDS  # noqa: F401  (re-exported for callers)
 from .text import tokens
 
 POLICIES = {

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH_STOPWORDS
-from ..functions.text import append_source, fold_sources, tokens
+from ..functions.text import fold_sources, tokens
 from .dedupe import keep_first
 from .ids import dense_ids
 from ..sources.tables import (ARTICLE_KEYWORDS_SCHEMA, ARTICLES_SCHEMA, KEYWORDS_SCHEMA,
@@ -134,12 +134,6 @@ def register_keywords(articles: DataFrame, text_col: str = "title",
     kw = dense_ids(kw, ["keyword"]).select("id", "keyword")
     bridge = pairs.join(kw, "keyword").select("article_id", F.col("id").alias("keyword_id"))
     return kw, bridge
-
-
-__all__ = ["append_source", "empty_store", "get_or_create_sources", "enrich",
-           "write_back_scores", "purge", "upsert", "register_keywords"]
-
-
 def fold_alt_sources(df: DataFrame, key: str = "content_hash", source: str = "source",
                      order: str = "id") -> DataFrame:
     """F12 + J8 over groups of copies: per ``key`` the number of copies and the

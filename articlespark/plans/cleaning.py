@@ -3,7 +3,7 @@ J7, J9, T1, T3, A15, D1, D4, D6, D10, D12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import policy_label
@@ -12,8 +12,8 @@ from ..operators import dedupe, feed
 from ..operators.store import fold_alt_sources, purge, upsert, write_back_scores
 from ..sources.tables import articles_view, events_view, raw_batch_view, read_table
 from .analytics import store_tables
-from .registry import (ARTICLES_CTE, EVENTS_CTE, FOLD_SQL, SOURCES_CTE, clean_sql, day_text,
-                       hash_sql, norm_sql, register, ts_text)
+from .registry import (ARTICLES_CTE, EVENTS_CTE, FOLD_SQL, SOURCES_CTE, clean_sql, hash_sql, norm_sql,
+                       register, ts_text)
 
 SEARCH = "ingen|thorre"
 NOW = "2024-02-20 12:00:00"
@@ -254,8 +254,6 @@ def q_alt_sources_fold(spark, sf_dir):
     return fold_alt_sources(h, "content_hash", "source", "id")
 
 
-__all__ = ["source_language", "Window", "day_text"]
-
 
 @register("recent_window", "P4,P10", f"""
 WITH {ARTICLES_CTE.strip()}

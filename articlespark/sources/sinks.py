@@ -9,7 +9,6 @@ path is never overwritten while it is read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.aggregates import report_summary
 
@@ -59,4 +58,4 @@ def read_report_detail(spark, path: str) -> DataFrame:
             .csv(path))
 
 
-__all__ = ["export_json", "export_csv", "daily_report", "report_detail", "read_report_detail", "F"]
+__all__ = ["export_json", "export_csv", "daily_report", "report_detail", "read_report_detail"]
