@@ -82,3 +82,35 @@ def test_dense_ids_are_dense_and_ordered(spark):
     out = dense_ids(df, ["k"], start=10, partitions=5)
     got = rows(out, "k", "id")
     assert got == [(k, k + 10) for k in range(997)]
+
+
+def test_ingest_batch_end_to_end(spark):
+    from articlespark.functions.sentiment import lexicon_frame
+    from articlespark.operators.ingest import ingest_batch, rescore
+    from articlespark.operators.store import empty_store
+
+    now = datetime(2025, 6, 10, 12)
+    raw_schema = ("seq long, title string, url string, content string, category string, date timestamp, "
+                  "source string, source_url string")
+    st = empty_store(spark)
+    b1 = spark.createDataFrame([
+        (1, "Test Article 1", "u1", "This is a test article.", "News", now, "VnExpress", "https://vnexpress.net"),
+        (2, "Other story", "u2", "Completely different words here.", "News", now, "VnExpress", "https://vnexpress.net"),
+        (3, "Other story", "u3", "Copy by title.", "News", now, "BBC", "https://www.bbc.com"),
+    ], raw_schema)
+    arts, srcs, _ = ingest_batch(b1, st["articles"], st["sources"], now, threshold=0.6)
+    arts, srcs = arts.checkpoint(), srcs.checkpoint()
+    assert rows(arts, "id", "title", "alt_sources") == [(1, "Test Article 1", ""), (2, "Other story", "")]
+    b2 = spark.createDataFrame([
+        (10, "Test Article 1 Update", "u9", "This is a test article with slight changes.", "World", now, "BBC",
+         "https://www.bbc.com"),
+        (11, "Fresh", "u10", "Brand new unrelated text.", "World", now, "BBC", "https://www.bbc.com"),
+    ], raw_schema)
+    arts2, srcs2, matches = ingest_batch(b2, arts, srcs, now, threshold=0.6)
+    assert rows(matches, "seq", "store_id") == [(10, 1)]
+    assert rows(arts2, "id", "title", "alt_sources") == [(1, "Test Article 1", "BBC"), (2, "Other story", ""),
+                                                         (3, "Fresh", "")]
+    assert rows(srcs2, "id", "name") == [(1, "VnExpress"), (2, "BBC")]
+    scored = dict(rows(rescore(arts2.withColumn("content", F.lit("good news")), lexicon_frame(spark)),
+                       "id", "sentiment_score"))
+    assert scored == {1: 0.7, 2: 0.7, 3: 0.7}
