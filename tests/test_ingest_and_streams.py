@@ -110,3 +110,22 @@ def test_stream_ingest_replay_is_idempotent(spark, tmp_path):
         st.stream_exact_ingest(stream, store, str(tmp_path / f"ckpt{attempt}"))
         got = rows(spark.read.parquet(store), "seq")
         assert got == [(1,), (3,)], attempt
+
+
+def test_dedupe_within_watermark(spark, tmp_path):
+    from articlespark.streaming import ingest as st
+
+    src = tmp_path / "raw"
+    data = [(1, "x", "same text", "2024-01-01 00:00:00"), (2, "y", "same  text", "2024-01-01 01:00:00"),
+            (3, "z", "other", "2024-01-01 02:00:00")]
+    spark.createDataFrame(data, "seq long, title string, content string, ts string") \
+        .select("seq", "title", "content", F.to_timestamp("ts").alias("ingested_at")) \
+        .coalesce(1).write.parquet(str(src))
+    schema = spark.read.parquet(str(src)).schema
+    out = str(tmp_path / "out")
+    q = (st.dedupe_within_watermark(st.file_stream(spark, str(src), schema))
+         .writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 2 and got.select("content_hash").distinct().count() == 2
