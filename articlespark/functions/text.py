@@ -18,7 +18,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\p{Z}\x09-\x0d\x1c-\x1f\x{85}]"
-TOKEN = r"[\p{L}\p{N}_]{2,}"
+# Possessive ``{2,}+``: a maximal run of word characters is followed by a
+# non-word character, so it matches exactly the runs of the greedy form
+# (which the RE2 twin in plans/registry.py uses) without backtracking.
+TOKEN = r"[\p{L}\p{N}_]{2,}+"
 TAG = r"<[^>]+>"
 
 # The 50-word Vietnamese + English stop set of the title-word
@@ -40,7 +43,7 @@ def _c(col: str | Column) -> Column:
 
 def collapse_ws(col: str | Column) -> Column:
     """Runs of any Unicode whitespace -> one space (no trim)."""
-    return F.regexp_replace(_c(col), WS + "+", " ")
+    return F.regexp_replace(_c(col), WS + "++", " ")  # possessive: same runs, no backtracking
 
 
 def clean_text(col: str | Column) -> Column:
@@ -50,7 +53,7 @@ def clean_text(col: str | Column) -> Column:
 
 def normalize_text(col: str | Column) -> Column:
     """strip tags (replaced by nothing), collapse whitespace, trim, lower."""
-    no_tags = F.regexp_replace(F.coalesce(_c(col), F.lit("")), TAG, "")
+    no_tags = F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"<[^>]++>", "")  # TAG, possessive
     return F.lower(F.trim(collapse_ws(no_tags)))
 
 
