@@ -81,6 +81,13 @@ def purge(articles: DataFrame, now, days: int = 30, date_col: str = "date") -> t
     return articles.where(~gone | d.isNull()), articles.where(gone)
 
 
+def prune_bridge(article_keywords: DataFrame, kept_articles: DataFrame) -> DataFrame:
+    """D12 companion: keep only keyword links whose article survived a purge
+    (a left-semi join; the reference leaves them orphaned)."""
+    return article_keywords.join(kept_articles.select(F.col("id").alias("article_id")), "article_id",
+                                 "left_semi")
+
+
 def upsert(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
     """Insert-or-merge a batch into the store on ``content_hash``.
 

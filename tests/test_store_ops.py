@@ -114,3 +114,34 @@ def test_ingest_batch_end_to_end(spark):
     scored = dict(rows(rescore(arts2.withColumn("content", F.lit("good news")), lexicon_frame(spark)),
                        "id", "sentiment_score"))
     assert scored == {1: 0.7, 2: 0.7, 3: 0.7}
+
+
+def test_missing_store_reads_empty(spark, tmp_path):
+    from articlespark.operators.aggregates import store_stats, table_sizes
+    from articlespark.sources.tables import ARTICLES_SCHEMA, SOURCES_SCHEMA, read_or_empty
+
+    arts = read_or_empty(spark, str(tmp_path / "missing_articles"), ARTICLES_SCHEMA)
+    srcs = read_or_empty(spark, str(tmp_path / "missing_sources"), SOURCES_SCHEMA)
+    assert arts.count() == 0 and arts.schema == ARTICLES_SCHEMA
+    sizes = dict(rows(table_sizes({"Articles": arts, "Sources": srcs})))
+    assert sizes == {"Articles": 0, "Sources": 0}
+    kw = spark.createDataFrame([], "id long, keyword string")
+    s = store_stats(arts, srcs, kw).first()
+    assert (s.total_articles, s.avg_sentiment, s.neut_count) == (0, 0.0, 0)
+
+
+def test_analysis_clean_parses_dates_leniently(spark):
+    df = spark.createDataFrame(
+        [(1, "A", "x", "BBC", "2025-06-01 10:00:00", None), (2, "A", "y", "BBC", "2025-06-02", "tech"),
+         (3, "B", None, "BBC", "not a date", "tech"), (4, "C", "z", "CNN", "garbage", "world")],
+        "id long, title string, content string, source string, date string, category string")
+    out = dedupe.analysis_clean(df).orderBy("id").collect()
+    assert [(r.id, r.category, r.date is None) for r in out] == [(1, "Unknown", False), (4, "world", True)]
+
+
+def test_prune_bridge(spark):
+    from articlespark.operators.store import prune_bridge
+
+    bridge = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "article_id long, keyword_id long")
+    kept = spark.createDataFrame([(1,), (3,)], "id long")
+    assert rows(prune_bridge(bridge, kept)) == [(1, 10), (3, 11)]
