@@ -134,9 +134,12 @@ def register_keywords(articles: DataFrame, text_col: str = "title",
     Keyword ids are dense in keyword order (``dense_ids`` over the distinct
     terms).  Returns ``(keywords, article_keywords)``.
     """
-    pairs = (articles.select(F.col("id").alias("article_id"),
-                             F.explode(F.array_distinct(tokens(text_col, stopwords))).alias("keyword"))
-             .distinct())
+    pairs = articles.select(F.col("id").alias("article_id"),
+                            F.explode(F.array_distinct(tokens(text_col))).alias("keyword"))
+    stop = sorted(set(stopwords))
+    if stop:  # top-level IN list -> hash-set lookup
+        pairs = pairs.where(~F.col("keyword").isin(stop))
+    pairs = pairs.distinct()
     kw = pairs.select("keyword").distinct()
     kw = dense_ids(kw, ["keyword"]).select("id", "keyword")
     bridge = pairs.join(kw, "keyword").select("article_id", F.col("id").alias("keyword_id"))
