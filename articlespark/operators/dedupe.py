@@ -42,15 +42,20 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str = "seq",
 def exact_deduplicate(df: DataFrame, order: str = "seq", null_keys: str = "group") -> DataFrame:
     """Three sequential keep-first passes -- url, normalised title,
     content_hash; each pass only sees the survivors of the previous one.  The
-    url / hash passes are skipped when the column is absent."""
-    out = df
-    if "url" in out.columns:
-        out = keep_first(out, ["url"], order, null_keys)
-    out = out.withColumn("_norm_title", normalize_text("title"))
-    out = keep_first(out, ["_norm_title"], order, null_keys).drop("_norm_title")
-    if "content_hash" in out.columns:
-        out = keep_first(out, ["content_hash"], order, null_keys)
-    return out
+    url / hash passes are skipped when the column is absent.
+
+    The passes run on a narrow projection (order key + the three keys); the
+    surviving full rows are fetched with one semi-join on the (unique) order
+    key, so wide columns such as the article text shuffle once, not per pass.
+    """
+    keys = [c for c in ("url", "content_hash") if c in df.columns]
+    narrow = df.select(order, *keys, normalize_text("title").alias("_norm_title"))
+    if "url" in keys:
+        narrow = keep_first(narrow, ["url"], order, null_keys)
+    narrow = keep_first(narrow, ["_norm_title"], order, null_keys)
+    if "content_hash" in keys:
+        narrow = keep_first(narrow, ["content_hash"], order, null_keys)
+    return df.join(narrow.select(order), order, "left_semi")
 
 
 def with_content_hash(df: DataFrame, content: str = "content") -> DataFrame:
