@@ -24,9 +24,11 @@ from ..session import ensure_checkpoint_dir
 def dense_ids(df: DataFrame, order: list[str], id_col: str = "id",
               start: Column | int = 1, partitions: int | None = None) -> DataFrame:
     """Adds ``id_col`` = ``start + rank - 1`` with rank by ``order`` (unique)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    # Without an explicit count AQE may coalesce adjacent ranges; merged
+    # partitions stay in key order, so the offsets below remain valid.
+    parted = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged = parted.withColumn("_pid", F.spark_partition_id()).checkpoint()
     local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

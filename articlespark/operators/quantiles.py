@@ -36,10 +36,12 @@ def ranked_histogram(df: DataFrame, group: str, value: str,
     """
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
-    # checkpointed so the stored partition id is the same for every consumer
-    ranged = (hist.repartitionByRange(n_parts, group, value)
+    # checkpointed so the stored partition id is the same for every consumer;
+    # without an explicit count AQE may coalesce adjacent (still ordered) ranges
+    parted = (hist.repartitionByRange(partitions, group, value) if partitions
+              else hist.repartitionByRange(group, value))
+    ranged = (parted
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint())
     w_in = (Window.partitionBy("_pid", group).orderBy(value)
