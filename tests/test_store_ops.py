@@ -145,3 +145,42 @@ def test_prune_bridge(spark):
     bridge = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "article_id long, keyword_id long")
     kept = spark.createDataFrame([(1,), (3,)], "id long")
     assert rows(prune_bridge(bridge, kept)) == [(1, 10), (3, 11)]
+
+
+def _sequential_d1(recs):
+    """Plain-Python sequential passes: url, normalised title, content."""
+    import re
+
+    def norm(t):
+        return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", t or "")).strip().lower()
+
+    out = sorted(recs)
+    for key in (lambda r: r[2], lambda r: norm(r[1]), lambda r: norm(r[3])):
+        seen, kept = set(), []
+        for r in out:
+            k = key(r)
+            if k not in seen:
+                seen.add(k)
+                kept.append(r)
+        out = kept
+    return [r[0] for r in out]
+
+
+def test_exact_dedupe_matches_sequential_passes(spark):
+    import random
+
+    rnd = random.Random(17)
+    titles, urls, bodies = ["A", "a ", "B", "<b>B</b>", "C"], ["u1", "u2", "u3", None], ["x", "X ", "y", "z"]
+    for _ in range(5):
+        recs = [(i, rnd.choice(titles), rnd.choice(urls), rnd.choice(bodies)) for i in range(rnd.randint(3, 14))]
+        df = spark.createDataFrame(recs, "seq long, title string, url string, content string")
+        got = [r[0] for r in rows(dedupe.exact_deduplicate(dedupe.with_content_hash(df)), "seq")]
+        assert got == _sequential_d1(recs), recs
+
+
+def test_upsert_is_idempotent(spark):
+    empty = spark.createDataFrame([], ARTICLES_SCHEMA)
+    batch = _batch(spark, [(1, "t1", "b1", "h1", "BBC"), (2, "t2", "b1", "h1", "CNN"), (3, "t3", "b3", "h3", "")])
+    once = upsert(empty, batch).checkpoint()
+    twice = upsert(once, batch)
+    assert rows(twice) == rows(once)
