@@ -283,3 +283,10 @@ SELECT id, title, source, coalesce(nullif(category, ''), 'NEWS') AS category,
 FROM articles""")
 def q_feed_cards(spark, sf_dir):
     return feed.card_fields(articles_view(spark, sf_dir))
+
+
+@register("hero_counters", "A15", f"""
+WITH {ARTICLES_CTE.strip()}
+SELECT count(*) AS articles, count(DISTINCT source) AS sources FROM articles""")
+def q_hero_counters(spark, sf_dir):
+    return feed.hero_counters(articles_view(spark, sf_dir))
