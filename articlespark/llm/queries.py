@@ -28,3 +28,25 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
+@_register("op10_warc", """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (
+  SELECT page_id, octet_length(payload) AS n, sha1(payload) AS sha,
+         min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+b AS (  -- base 32: ten hexadecimal digits are eight letters of five bits
+  SELECT *, list_aggregate([
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(sha, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT, 1)
+           FOR k IN range(32)], 'string_agg', '') AS digest FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b""")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_index
+
+    return archive_and_index(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
