@@ -50,3 +50,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return archive_and_index(read_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_register("op6_mix")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import row_ids
+    from .mixing import mix
+
+    docs = row_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "rid")
+    return mix(docs, "rid").select("doc_id", "size", "source_size", "target", "taken")
