@@ -59,3 +59,13 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = row_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "rid")
     return mix(docs, "rid").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register("op5_token_count")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokencount import count_tokens
+
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
