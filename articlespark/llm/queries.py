@@ -69,3 +69,12 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counted = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@_register("op2_language_id")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, learn_from_documents
+
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, learn_from_documents(docs), ["doc_id"]).select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
