@@ -78,3 +78,11 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return identify(docs, learn_from_documents(docs), ["doc_id"]).select(
         "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@_register("op7_html_text")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_main_text
+
+    return extract_main_text(read_table(spark, sf_dir, "pages")) \
+        .withColumn("n_chars", F.char_length("text").cast("bigint"))
