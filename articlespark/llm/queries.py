@@ -86,3 +86,23 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return extract_main_text(read_table(spark, sf_dir, "pages")) \
         .withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@_register("op3_topk", """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS uid,
+         [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT a.uid, a.vec_id AS query_id, b.vec_id,
+         list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)])::BIGINT AS score, b.uid AS cuid
+  FROM v a JOIN v b ON a.uid <> b.uid AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, cuid) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
