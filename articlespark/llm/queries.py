@@ -106,3 +106,38 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_register("op4_line_dedup", """
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS rid FROM documents),
+l AS (
+  SELECT rid, unnest(range(len(string_split(text, chr(10))))) AS line_no,
+         unnest(string_split(text, chr(10))) AS line FROM d),
+w AS (
+  SELECT rid, line_no, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+p AS (SELECT *, len(w) AS n, rid * 1000000 + line_no AS place FROM w WHERE len(w) >= 4),
+u AS (SELECT w, min(n) AS n, min(place) AS place FROM p GROUP BY w),
+v AS (
+  SELECT w, n, place, i, w[1:i - 1] || w[i + 1:] AS r
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 10)),
+near AS (
+  SELECT w FROM (SELECT w, place, min(place) OVER (PARTITION BY n, i, r) AS e FROM v) WHERE e < place
+  UNION SELECT v.w FROM v JOIN u ON v.r = u.w AND u.n >= 10 WHERE u.place < v.place
+  UNION SELECT u.w FROM v JOIN u ON v.r = u.w AND u.n >= 10 WHERE v.place < u.place),
+gone AS (
+  SELECT p.rid, p.line_no FROM p JOIN u USING (w)
+  WHERE p.place <> u.place OR p.w IN (SELECT w FROM near)),
+k AS (
+  SELECT l.rid, count(*)::BIGINT AS n_lines, count(gone.line_no)::BIGINT AS n_dropped,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (gone.line_no IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON l.rid = gone.rid AND l.line_no = gone.line_no GROUP BY l.rid)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
+       CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text
+FROM d LEFT JOIN k USING (rid)""")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_repeated_lines
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint")
+    docs = drop_repeated_lines(docs.withColumn("n_lines", lines))
+    return docs.select("doc_id", "n_lines", F.size("dropped_lines").cast("bigint").alias("n_dropped"), "text")
