@@ -141,3 +141,26 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint")
     docs = drop_repeated_lines(docs.withColumn("n_lines", lines))
     return docs.select("doc_id", "n_lines", F.size("dropped_lines").cast("bigint").alias("n_dropped"), "text")
+
+
+@_register("op8_ngram_join", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([w[i:i + 4] FOR i IN range(1, len(w) - 3)])
+                      WHEN len(w) >= 1 THEN [w] ELSE [] END AS s FROM w),
+t AS (SELECT doc_id, unnest(s) AS t FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM o JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y
+  WHERE 100 * n >= 75 * (len(a.s) + len(b.s) - n)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import row_ids
+    from .ngramjoin import link_documents
+
+    docs = row_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "rid")
+    return link_documents(docs, "rid").select("doc_id", "n_shingles", "component_id")
