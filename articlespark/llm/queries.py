@@ -164,3 +164,12 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = row_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "rid")
     return link_documents(docs, "rid").select("doc_id", "n_shingles", "component_id")
+
+
+@_register("op9_lm_score")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import row_ids
+    from .ctxmix import score_documents
+
+    docs = row_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "rid")
+    return score_documents(docs, "rid").drop("rid")
