@@ -118,11 +118,11 @@ def within_one_edit(x: Column, y: Column) -> Column:
 def find_repeated_lines(docs: DataFrame, rid: str, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(rid, dropped): for each row of ``docs`` (doc_id, text, ``rid``) that loses lines,
     their sorted line numbers."""
-    lines = _lines(docs, rid, min_words)
     base = F.col("n")
     halves = [_half("P", base).alias("p0"), _half("S", base).alias("s0"), _half("P", base - 1).alias("p1"), _half("S", base - 1).alias("s1")]
+    lines = written(_lines(docs, rid, min_words).select(*LINE_ID, "place", "n", *halves), "lines-ids")
     distinct = written(
-        lines.select(*LINE_ID, "place", "n", *halves).groupBy(*LINE_ID)
+        lines.groupBy(*LINE_ID)
         .agg(F.min("place").alias("place"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1"))),
         "lines-distinct")
     near = _near_drops(docs, rid, distinct, near_words, min_words).withColumn("near", F.lit(True))
