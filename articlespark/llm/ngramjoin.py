@@ -48,6 +48,8 @@ FRAGMENT_DOCS, FRAGMENT_SETS, LEAST_FRAGMENTS = 10_000, 4_000, 64
 BROADCAST_SETS = 500_000
 #: Pairs for each set up to which all pairs between components are tested at once.
 PAIRS_PER_SET = 8
+#: They are also tested where a round leaves more than this share of them.
+STALLED = 0.9
 
 
 def shingle_sets(words: Words, width: int = WIDTH) -> list[np.ndarray]:
@@ -350,10 +352,12 @@ class NgramJoin:
             return (low * 100 >= high * p) & (F.least(na - pa_, nb - pb) * (100 + p) >= (na + nb) * p)
 
         while True:
+            # The first star's middle is the set with the fewest rarer hashes: the most typical one.
+            order = F.col("place").cast("bigint") if turn == 0 else F.xxhash64("rid", F.lit(turn))
             here = posted.withColumn("root", F.col("rid")) if label is None else \
                 posted.join(label, posted.rid == label.node, "left").withColumn("root", F.coalesce("root", "rid")).drop("node")
             mixed = here.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                             F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("k"), "rid", "root", "n", "place")).alias("lead")) \
+                                             F.min(F.struct(order.alias("k"), "rid", "root", "n", "place")).alias("lead")) \
                 .where("lo <> hi").select("hash", "lead")
             here = written(here.join(mixed, "hash"), "ngram-mixed")
             size = here.groupBy("hash", "root").agg(F.count("*").alias("c")).groupBy("hash") \
@@ -362,7 +366,7 @@ class NgramJoin:
             work = size.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0
             if not work:
                 break
-            complete = turn > 0 and (work <= PAIRS_PER_SET * n_sets or last is not None and work > last / 2)
+            complete = turn > 0 and (work <= PAIRS_PER_SET * n_sets or turn > 1 and work > last * STALLED)
             if complete:
                 sized = here.select("hash", "rid", "root", "n", "place").join(size.select("hash", "major"), "hash")
                 x = sized.where("root <> major").select("hash", F.col("rid").alias("xr"), F.col("root").alias("xc"),
