@@ -1,0 +1,13 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from articlespark.session import local_session
+
+    return local_session("4", shuffle_partitions=4, app_name="articlespark-tests", extra={"spark.driver.memory": "4g"})
