@@ -127,6 +127,6 @@ def title_words(col: str | Column) -> Column:
     return F.transform(kept, lambda w: F.regexp_replace(w, f"^{cls}+|{cls}+$", ""))
 
 
-def first_line(col: str | Column, max_chars: int = 80) -> Column:
-    """Headline of a text: its first line, cut to ``max_chars`` characters."""
-    return F.substring(F.substring_index(_c(col), "\n", 1), 1, max_chars)
+def first_line(col: str | Column) -> Column:
+    """Headline of a text: its whole first line."""
+    return F.substring_index(_c(col), "\n", 1)

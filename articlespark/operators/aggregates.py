@@ -59,6 +59,11 @@ def store_stats(articles: DataFrame, sources: DataFrame, keywords: DataFrame,
     )
 
 
+def sentiment_counts(articles: DataFrame) -> DataFrame:
+    """Input of A14: all, positive and negative articles, in one scan."""
+    return articles.agg(F.count(F.lit(1)).alias("total_articles"), *score_counts())
+
+
 def sentiment_index(stats: DataFrame, digits: int = 1) -> DataFrame:
     """Positive / negative share in percent over max(total, 1); neutral is
     the remainder."""

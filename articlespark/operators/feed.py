@@ -84,9 +84,11 @@ def language_filter(df: DataFrame, language: str | None,
 
 
 def date_range(df: DataFrame, lo, hi, date_col: str = "date") -> DataFrame:
-    """Calendar day of ``date`` within [lo, hi] inclusive."""
-    d = F.to_date(F.col(date_col))
-    return df.where(d.between(F.to_date(F.lit(lo)), F.to_date(F.lit(hi))))
+    """Calendar day of ``date`` within [lo, hi] inclusive.  The bare column is
+    compared, so the filter reaches the scan."""
+    first = F.to_date(F.lit(lo)).cast("timestamp")
+    after = F.date_add(F.to_date(F.lit(hi)), 1).cast("timestamp")
+    return df.where((F.col(date_col) >= first) & (F.col(date_col) < after))
 
 
 def filtered(df: DataFrame, search: str | None = None, source: str | None = None,

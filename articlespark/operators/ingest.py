@@ -17,7 +17,7 @@ from .store import enrich, get_or_create_sources, upsert, write_back_scores
 
 
 def ingest_batch(raw: DataFrame, articles: DataFrame, sources: DataFrame, now,
-                 horizon_hours: float | None = 72, threshold: float = 0.85, cap: int | None = 5000):
+                 horizon_hours: float | None = 72, threshold: float = 0.85, cap: int | None = None):
     """D3: ``raw`` records (``seq, title, url, content, category, date,
     source, source_url``) into the store.
 

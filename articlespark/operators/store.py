@@ -76,8 +76,8 @@ def purge(articles: DataFrame, now, days: int = 30, date_col: str = "date") -> t
     NULL dates are kept (SQL comparison semantics).  Returns ``(kept, deleted)``.
     """
     cutoff = F.date_sub(F.to_date(F.lit(now).cast("timestamp")), days)
-    d = F.to_date(F.col(date_col))
-    gone = d < cutoff
+    d = F.col(date_col)  # bare, so the filter reaches the scan
+    gone = d < cutoff.cast("timestamp")
     return articles.where(~gone | d.isNull()), articles.where(gone)
 
 

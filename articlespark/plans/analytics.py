@@ -107,8 +107,7 @@ p AS (SELECT {_pct_sql('pos', 'greatest(total, 1)')} AS pos_pct,
 SELECT pos_pct, neg_pct, round(100.0::DOUBLE - pos_pct - neg_pct, 1) AS neu_pct FROM p""")
 def q_sentiment_index(spark, sf_dir):
     arts = articles_view(spark, sf_dir)
-    stats = agg.store_stats(arts, arts.limit(0), arts.limit(0))
-    return agg.sentiment_index(stats)
+    return agg.sentiment_index(agg.sentiment_counts(arts))
 
 
 @register("report_summary", "A2,D9,P11,F17", f"""
@@ -156,10 +155,11 @@ def q_category_share(spark, sf_dir):
 
 
 @register("category_source_pivot", "A7", """
-PIVOT (SELECT lang AS category, source,
-              ((doc_id * 37) % 201 - 100) / 100.0::DOUBLE AS sentiment_score
-       FROM documents WHERE lang IS NOT NULL)
-ON source USING round(avg(sentiment_score), 6) GROUP BY category""")
+SELECT * FROM (
+  PIVOT (SELECT lang AS category, source,
+                ((doc_id * 37) % 201 - 100) / 100.0::DOUBLE AS sentiment_score
+         FROM documents WHERE lang IS NOT NULL)
+  ON source USING round(avg(sentiment_score), 6) GROUP BY category)""")
 def q_category_source_pivot(spark, sf_dir):
     return agg.category_source_pivot(articles_view(spark, sf_dir), digits=6)
 

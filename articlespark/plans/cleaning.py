@@ -99,7 +99,7 @@ def q_feed_counters(spark, sf_dir):
 
 
 @register("normalize_fingerprint", "F2,F3,F4", f"""
-SELECT doc_id, {norm_sql('substr(split_part(text, chr(10), 1), 1, 80)')} AS norm_title,
+SELECT doc_id, {norm_sql('split_part(text, chr(10), 1)')} AS norm_title,
        {hash_sql('text')} AS content_hash
 FROM documents""")
 def q_normalize_fingerprint(spark, sf_dir):
@@ -147,7 +147,7 @@ SELECT seq, title, source, content_hash FROM p2"""
 
 
 @register("exact_dedupe", "D1,W1,F2,F3,F4,S5,G4", _D1_SQL.format(
-    title="substr(split_part(text, chr(10), 1), 1, 80)", hash=hash_sql("text"), norm=norm_sql("title")))
+    title="split_part(text, chr(10), 1)", hash=hash_sql("text"), norm=norm_sql("title")))
 def q_exact_dedupe(spark, sf_dir):
     out = dedupe.exact_deduplicate(_dedupe_input(spark, sf_dir, "first_line"))
     return out.select("seq", "title", "source", "content_hash")

@@ -57,7 +57,7 @@ def r6(c: str | Column) -> Column:
 ARTICLES_CTE = """
 articles AS (
   SELECT doc_id AS id,
-         substr(split_part(text, chr(10), 1), 1, 80) AS title,
+         split_part(text, chr(10), 1) AS title,
          text AS content,
          source,
          TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 HOUR AS date,

@@ -109,16 +109,27 @@ class _TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#root", {}, None)
         self.stack = [self.root]
+        self.open_p = 0  # so that unclosed tags cost no search of the stack
+
+    def _pop(self):
+        self.open_p -= self.stack.pop().tag == "p"
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):  # a marked section: skipped to the next >
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES_P and any(n.tag == "p" for n in self.stack[1:]):
+        if tag in _CLOSES_P and self.open_p:
             while self.stack[-1].tag != "p":
-                self.stack.pop()
-            self.stack.pop()
+                self._pop()
+            self._pop()
         node = _Node(tag, {k: (v or "") for k, v in attrs}, self.stack[-1])
         self.stack[-1].children.append(node)
         if tag not in _VOID:
             self.stack.append(node)
+            self.open_p += tag == "p"
 
     def handle_startendtag(self, tag, attrs):
         node = _Node(tag, {k: (v or "") for k, v in attrs}, self.stack[-1])
@@ -127,7 +138,8 @@ class _TreeBuilder(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                while len(self.stack) > i:
+                    self._pop()
                 return
 
     def handle_data(self, data):

@@ -3,7 +3,7 @@
 The driver's test data has no ``articles`` table, so ``articles_view`` derives
 one deterministically from ``documents`` (same rule in the SQL oracle):
 
-* id = doc_id, title = first line of text cut to 80 chars, content = text,
+* id = doc_id, title = first line of text, content = text,
   source = source, category = lang
 * date = 2024-01-01 00:00 UTC + doc_id hours
 * sentiment_score = ((doc_id * 37) % 201 - 100) / 100  (integers first)
