@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
+
+#: Rows of an Arrow batch at most: whole texts are long.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
+    """Before Python runs in tasks: the package on the workers, small Arrow batches."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def fresh(df: DataFrame, name: str) -> str:

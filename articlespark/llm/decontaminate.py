@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from .common import ready
 from .words import ALNUM_WORDS, Words, iter_words
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE_EVERY = 16
 #: Test-set text that one pass over the documents holds; a larger set takes
 #: several passes (see ``find_contamination``).
@@ -296,7 +296,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     they are split by item and the documents are passed once for each part, so a
     worker never holds more than one part.  No shuffle in either case."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("text")) \
         .where("name is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0

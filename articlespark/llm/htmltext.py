@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import ship_package
+from .common import ready
 
 SIGMA = 1.0
 REGION_SHARE = 0.7
@@ -215,6 +215,6 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row; blocks are joined by an empty line."""
-    ship_package(pages.sparkSession)
+    ready(pages.sparkSession)
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     return pages.select("page_id", "url", "html").mapInArrow(_extract, f"{kinds}, text string")

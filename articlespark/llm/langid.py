@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from .common import ready
 from .words import SEP, _lut, iter_words
 
 BUCKETS = 1 << 16
@@ -72,7 +72,7 @@ def _count_grams(labels):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             lang = np.array([known.get(x, -1) for x in batch.column(0).to_pylist()], dtype=np.int64)
-            for w in iter_words(batch.column(1), LETTERS):
+            for w in iter_words(batch.column(1), LETTERS, 1 << 20):
                 g = grams(w)
                 word_lang = np.repeat(lang[w.lo:w.hi], w.counts())
                 of = np.repeat(word_lang, np.diff(np.append(g.word_first, len(g.gram))))
@@ -91,7 +91,7 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
     """Learn from rows of (doc_id, text, lang).  Rows are thinned by hash to about
     ``docs_per_language`` for each language; grams are counted in the tasks, and what
     reaches the driver is one number for each language and bucket."""
-    ship_package(labelled.sparkSession)
+    ready(labelled.sparkSession)
     rows = labelled.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")) \
         .where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -167,7 +167,7 @@ def infer(g: Grams, model: Model, max_languages: int = MAX_LANGUAGES, rounds: in
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        chunk = max(1 << 16, (1 << 24) // max(4, len(m.labels)))
+        chunk = max(1 << 14, (1 << 22) // max(4, len(m.labels)))
         for batch in batches:
             texts = batch.column(1)
             shares, letters = [], []
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """A struct ``row`` of the ``carry`` columns, lang_pred, score and the mixture.
     The model's size is buckets times languages; it is broadcast."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     frame = docs.select(F.struct(*carry).alias("row"), "text")
     kind = frame.schema["row"].dataType.simpleString()
     return frame.mapInArrow(_predict(spark.sparkContext.broadcast(model)),

@@ -28,8 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ids import dense_ids
-from ..session import ship_package
-from .common import fresh, row_ids, written
+from .common import fresh, ready, row_ids, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that dynamic programming fits at most; proportional rounding and a greedy
@@ -66,7 +65,7 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, in
     usable = [(x, c) for x, c in zip(lengths, counts) if c > 0 and x > 0]
     if budget <= 0 or not usable:
         return {}
-    reach = budget + min(x for x, _ in usable)
+    reach = 2 * budget  # nothing at all is as near as that
     mask, sums, steps = (1 << (reach + 1)) - 1, 1, []
     for x, c in sorted(usable, reverse=True):
         left, n = min(c, reach // x), 1
@@ -127,7 +126,7 @@ def mix(docs: DataFrame, row_id: str, weights: Iterable[int] = (1, 2, 3), seed:
     """(row_id, doc_id, size, source_size, target, copies, taken) for each row of
     ``docs`` (columns ``row_id``, doc_id, text, source)."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     weights = list(weights)
     narrow = written(docs.select(
         F.col(row_id).alias("rid"), "doc_id", F.col("source").isNull().alias("no_source"),

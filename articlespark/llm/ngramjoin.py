@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import written
+from .common import ready, written
 from .components import components
 from .words import SPACE_WORDS, Words, iter_words, mix64
 
@@ -299,7 +298,7 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
         """``docs``: rid (row number), doc_id, text."""
         self.percent, spark = percent, docs.sparkSession
-        ship_package(spark)
+        ready(spark)
         texts = docs.select("rid", "text")
         fragments = max(LEAST_FRAGMENTS, -(-docs.count() // FRAGMENT_DOCS))
         pieces = written(texts.mapInArrow(_prefixes(width, percent, fragments), PIECE_SCHEMA), "ngram-prefixes")

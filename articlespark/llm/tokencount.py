@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ..session import ship_package
+from .common import ready
 
 #: Chunks kept in each of two generations.
 CACHE = 300_000
@@ -171,7 +171,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for each row.  ``vocabulary`` is the path, on the
     driver, of a tokenizers JSON file; its content (its size is fixed) is broadcast."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     with open(vocabulary, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()

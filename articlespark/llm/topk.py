@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import written
+from .common import ready, written
 
 GROUP_ROWS = 8192
 QUERY_ROWS = 256
@@ -154,7 +153,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     """(query_id, rank, vec_id, score) for each query row of ``vectors`` (vec_id,
     embedding), by integer inner product of floor(scale * component)."""
     spark = vectors.sparkSession
-    ship_package(spark)
+    ready(spark)
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = vectors.where("vec_id is not null and embedding is not null").where(~odd)
     limit = 2.0 ** 63 / scale / 2

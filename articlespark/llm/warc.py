@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship_package
+from ..session import scratch_path
+from .common import ready
 
 SEGMENT_BYTES = 4 << 20
 #: Index rows that one range of the external merge aims at.
@@ -138,7 +139,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
     """Write one WARC record for each page into segments under ``path``."""
-    ship_package(pages.sparkSession)
+    ready(pages.sparkSession)
     mark_revisits(pages, min_revisit_bytes).mapInArrow(_write, ARCHIVE_SCHEMA).write.parquet(path)
 
 
@@ -195,7 +196,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The index entries of all records, each segment's sorted as one run."""
-    ship_package(archives.sparkSession)
+    ready(archives.sparkSession)
     return archives.select("segment", "records", "data").mapInArrow(_read, INDEX_SCHEMA)
 
 
@@ -265,7 +266,7 @@ def merge_index(entries: DataFrame, rows: int, range_rows: int = RANGE_ROWS) ->
     """External merge of the runs.  The ranges are cut by the whole key, so one URL's
     captures spread over ranges too; a task holds about ``range_rows`` rows."""
     spark = entries.sparkSession
-    ship_package(spark)
+    ready(spark)
     parts = max(spark.sparkContext.defaultParallelism, -(-rows // range_rows))
     return entries.repartitionByRange(parts, "url_key", "ts", "page_id", "segment", "offset") \
         .mapInArrow(_merge, INDEX_SCHEMA)

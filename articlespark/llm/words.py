@@ -120,7 +120,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def iter_words(column: pa.Array, lut: np.ndarray, max_bytes: int = 1 << 22) -> Iterator[Words]:
+def iter_words(column: pa.Array, lut: np.ndarray, max_bytes: int = 1 << 21) -> Iterator[Words]:
     """Words of every row, in chunks of whole rows of about ``max_bytes``.
     Null and empty rows have no words; no row is cut."""
     raw, offsets = column_bytes(column)
