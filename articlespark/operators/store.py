@@ -88,21 +88,55 @@ def prune_bridge(article_keywords: DataFrame, kept_articles: DataFrame) -> DataF
                                  "left_semi")
 
 
+def _new_keys(store: DataFrame, batch: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Narrow ``(order, content_hash, url)`` rows of the batch whose hash the
+    store does not hold: those that may be inserted, and those refused because
+    their url belongs to another article."""
+    new = (batch.select(order, "content_hash", F.nullif("url", F.lit("")).alias("url"))
+           .join(store.select("content_hash"), "content_hash", "left_anti"))
+    stored = store.where("url <> ''").groupBy("url").agg(F.lit(None).cast(new.schema[order].dataType).alias("_by"),
+                                                         F.min("content_hash").alias("_owner"))
+    claimed = (new.where("url IS NOT NULL").groupBy("url")
+               .agg(F.min(order).alias("_by"), F.min_by("content_hash", order).alias("_owner"))
+               .join(stored.select("url"), "url", "left_anti"))
+    owners = stored.unionByName(claimed)
+    # the owner itself and later copies of its text are no conflict
+    same = F.col("_by").eqNullSafe(F.col(order)) | F.coalesce(F.col("content_hash") == F.col("_owner"), F.lit(False))
+    refused = new.join(owners, "url").where(~same).select(order)
+    return new.join(refused, order, "left_anti"), refused
+
+
+def upsert_rejects(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
+    """The batch rows that ``upsert`` refuses, whole: their hash is new, but
+    their (non-empty) url is stored, or claimed by an earlier new batch row,
+    with another content."""
+    return batch.join(_new_keys(store, batch, order)[1], order, "left_semi")
+
+
 def upsert(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
-    """Insert-or-merge a batch into the store on ``content_hash``.
+    """Insert-or-merge a batch into the store on ``content_hash``; urls are
+    unique too.
 
     * batch rows whose hash exists in the store only extend that row's
       ``alt_sources`` (F12, in batch order); every other column keeps the
       stored (first) version;
-    * new hashes are inserted once, first batch row wins, later copies of the
-      same hash in the batch fold their alt_sources into it;
+    * a new hash whose url belongs to another content is refused (first wins;
+      see ``upsert_rejects``) and adds nothing;
+    * other new hashes are inserted once, first batch row wins, later copies of
+      the same hash in the batch fold their alt_sources into it;
+    * NULL hashes are distinct from each other, as in a SQL unique column: each
+      such row is inserted unless its url is taken.  NULL and empty urls never
+      conflict;
     * new rows get ids ``max(store id) + rank`` in ``order``.
 
     Both the store and the batch must carry ARTICLES_SCHEMA columns (the batch
-    also ``order``).  Per hash only the distinct additions (first occurrence
-    order) are kept before folding, so a hot hash never gathers its rows.
+    also ``order``, unique).  Per hash only the distinct additions (first
+    occurrence order) are kept before folding, so a hot hash never gathers its
+    rows.  Decisions and numbering run on narrow keys; whole rows move once.
     """
+    new, refused = _new_keys(store, batch, order)
     adds = (batch.where(F.col("alt_sources").isNotNull() & (F.col("alt_sources") != ""))
+            .select(order, "content_hash", "alt_sources").join(refused, order, "left_anti")
             .groupBy("content_hash", F.col("alt_sources").alias("add"))
             .agg(F.min(order).alias("_first")))
     adds_per_hash = adds.groupBy("content_hash").agg(
@@ -114,15 +148,14 @@ def upsert(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
         F.when(F.col("_adds").isNull(), F.col("alt_sources"))
         .otherwise(fold_sources(F.col("alt_sources"), F.col("_adds")))).drop("_adds")
 
-    fresh = keep_first(batch.join(store.select("content_hash"), "content_hash", "left_anti"),
-                       ["content_hash"], order)
+    base = store.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    first = keep_first(new, ["content_hash"], order, null_keys="distinct").select(order)
+    fresh = batch.drop("id").join(dense_ids(first, [order], start=base + 1), order)
     # alt_sources of a fresh row: its own value folded with later copies'
     fresh = fresh.join(adds_per_hash, "content_hash", "left").withColumn(
         "alt_sources",
         F.when(F.col("_adds").isNull(), F.coalesce("alt_sources", F.lit("")))
         .otherwise(fold_sources(F.lit(""), F.col("_adds")))).drop("_adds")
-    base = store.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    fresh = dense_ids(fresh.drop("id"), [order], start=base + 1)
     cols = [f.name for f in ARTICLES_SCHEMA.fields]
     return existing.select(*cols).unionByName(fresh.select(*cols))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.sentiment import policy_label
 from ..functions.text import clean_text, content_hash, first_line
 from ..operators import dedupe, feed
-from ..operators.store import fold_alt_sources, purge, upsert, write_back_scores
+from ..operators.store import fold_alt_sources, purge, upsert, upsert_rejects, write_back_scores
 from ..sources.tables import articles_view, events_view, raw_batch_view, read_table
 from .analytics import store_tables
 from .registry import (ARTICLES_CTE, EVENTS_CTE, FOLD_SQL, SOURCES_CTE, clean_sql, hash_sql, norm_sql,
@@ -172,12 +172,15 @@ def q_analysis_clean(spark, sf_dir):
 def _split_store_batch(spark, sf_dir):
     """Store = articles dated before the midpoint of the time range (deduped
     on content_hash, alt_sources ''), batch = the later ones, each recording
-    its own source in alt_sources."""
+    its own source in alt_sources.  Urls (a fifth has none) repeat within a source
+    after seven tenths of the ids, so some of the batch's are taken."""
     t = store_tables(spark, sf_dir)
+    period = articles_view(spark, sf_dir).select(F.expr("max(id) * 7 div 10 + 1")).scalar()
     arts = (articles_view(spark, sf_dir)
             .join(t["sources"].select(F.col("name").alias("source"), F.col("id").alias("source_id")), "source")
             .withColumn("content_hash", content_hash("content"))
-            .withColumn("url", F.lit(None).cast("string"))
+            .withColumn("url", F.when(F.col("id") % 5 != 0, F.concat(
+                F.lit("https://"), "source", F.lit(".example/"), (F.col("id") % period).cast("string"))))
             .checkpoint())  # hashed once; store and batch branches all read it
     secs = F.unix_seconds("date")
     mid2 = arts.select(F.min(secs) + F.max(secs)).scalar()
@@ -188,37 +191,56 @@ def _split_store_batch(spark, sf_dir):
     return store.drop("source"), batch.drop("source")
 
 
-@register("upsert_articles", "D4,F12,F18", f"""
+_UPSERT_CTE = f"""
 WITH {ARTICLES_CTE.strip()}, {SOURCES_CTE.strip()},
 h AS (SELECT *, {hash_sql('content')} AS content_hash,
-             date_diff('second', TIMESTAMP '1970-01-01', date) AS secs FROM articles),
+             CASE WHEN id % 5 <> 0 THEN 'https://' || source || '.example/' || (id % p.period) END AS url,
+             date_diff('second', TIMESTAMP '1970-01-01', date) AS secs
+      FROM articles, (SELECT max(id) * 7 // 10 + 1 AS period FROM articles) p WHERE source IS NOT NULL),
 b AS (SELECT min(secs) + max(secs) AS mid2 FROM h),
-store AS (SELECT id, title, content_hash, source, '' AS alt_sources FROM h, b WHERE h.secs * 2 < b.mid2
+store AS (SELECT id, title, url, content_hash, source, '' AS alt_sources FROM h, b WHERE h.secs * 2 < b.mid2
           QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY id) = 1),
-batch AS (SELECT id AS seq, title, content_hash, source, source AS alt_sources FROM h, b
+batch AS (SELECT id AS seq, title, url, content_hash, source, source AS alt_sources FROM h, b
           WHERE h.secs * 2 >= b.mid2),
+new AS (SELECT * FROM batch WHERE content_hash NOT IN (SELECT content_hash FROM store)),
+taken AS (SELECT url FROM store WHERE url IS NOT NULL),
+claims AS (SELECT url, arg_min(content_hash, seq) AS owner FROM new
+           WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM taken) GROUP BY url),
+refused AS (SELECT seq FROM new WHERE url IN (SELECT url FROM taken)
+            UNION SELECT n.seq FROM new n JOIN claims c ON n.url = c.url WHERE n.content_hash <> c.owner)"""
+
+
+@register("upsert_rejects", "D4", f"""{_UPSERT_CTE}
+SELECT seq, url, content_hash FROM batch WHERE seq IN (SELECT seq FROM refused)""")
+def q_upsert_rejects(spark, sf_dir):
+    store, batch = _split_store_batch(spark, sf_dir)
+    return upsert_rejects(store, batch, order="seq").select("seq", "url", "content_hash")
+
+
+@register("upsert_articles", "D4,F12", f"""{_UPSERT_CTE},
 adds AS (SELECT content_hash, alt_sources AS a, min(seq) AS first FROM batch
-         WHERE alt_sources IS NOT NULL AND alt_sources <> '' GROUP BY content_hash, alt_sources),
+         WHERE alt_sources IS NOT NULL AND alt_sources <> '' AND seq NOT IN (SELECT seq FROM refused)
+         GROUP BY content_hash, alt_sources),
 addl AS (SELECT content_hash, list(a ORDER BY first) AS adds FROM adds GROUP BY content_hash),
-existing AS (SELECT s.id, s.title, s.content_hash, s.source,
+existing AS (SELECT s.id, s.title, s.url, s.content_hash, s.source,
                     CASE WHEN l.adds IS NULL THEN s.alt_sources
                          ELSE list_reduce(list_prepend(coalesce(s.alt_sources, ''), l.adds), {FOLD_SQL}) END
                       AS alt_sources
              FROM store s LEFT JOIN addl l ON s.content_hash = l.content_hash),
-fresh0 AS (SELECT * FROM batch WHERE content_hash NOT IN (SELECT content_hash FROM store)
+fresh0 AS (SELECT * FROM new WHERE seq NOT IN (SELECT seq FROM refused)
            QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq) = 1),
 fresh AS (SELECT (SELECT coalesce(max(id), 0) FROM store) + row_number() OVER (ORDER BY f.seq) AS id,
-                 f.title, f.content_hash, f.source,
+                 f.title, f.url, f.content_hash, f.source,
                  CASE WHEN l.adds IS NULL THEN coalesce(f.alt_sources, '')
                       ELSE list_reduce(list_prepend('', l.adds), {FOLD_SQL}) END AS alt_sources
           FROM fresh0 f LEFT JOIN addl l ON f.content_hash = l.content_hash),
 u AS (SELECT * FROM existing UNION ALL SELECT * FROM fresh)
-SELECT u.id, u.title, u.content_hash, s.id AS source_id, u.alt_sources
+SELECT u.id, u.title, u.url, u.content_hash, s.id AS source_id, u.alt_sources
 FROM u JOIN sources s ON s.name = u.source""")
 def q_upsert_articles(spark, sf_dir):
     store, batch = _split_store_batch(spark, sf_dir)
     out = upsert(store, batch, order="seq")
-    return out.select("id", "title", "content_hash", "source_id", "alt_sources")
+    return out.select("id", "title", "url", "content_hash", "source_id", "alt_sources")
 
 
 @register("score_writeback", "J7,D7", f"""

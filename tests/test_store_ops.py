@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from articlespark.operators import dedupe
 from articlespark.operators.ids import dense_ids
-from articlespark.operators.store import (fold_alt_sources, get_or_create_sources, purge, upsert,
+from articlespark.operators.store import (fold_alt_sources, get_or_create_sources, purge, upsert, upsert_rejects,
                                           write_back_scores)
 from articlespark.sources.tables import ARTICLES_SCHEMA
 from conftest import rows
@@ -184,3 +184,34 @@ def test_upsert_is_idempotent(spark):
     once = upsert(empty, batch).checkpoint()
     twice = upsert(once, batch)
     assert rows(twice) == rows(once)
+
+
+def _with_urls(spark, data):
+    df = _batch(spark, [(seq, f"t{seq}", "body", h, alt) for seq, h, _, alt in data])
+    urls = spark.createDataFrame([(seq, u) for seq, _, u, _ in data], "seq long, _u string")
+    return df.join(urls, "seq").withColumn("url", F.col("_u")).select(*[f.name for f in ARTICLES_SCHEMA.fields], "seq")
+
+
+def test_upsert_urls_are_unique_first_wins(spark):
+    empty = spark.createDataFrame([], ARTICLES_SCHEMA)
+    first = _with_urls(spark, [(1, "h1", "u1", "A"), (2, "h2", "u1", "B"), (3, "h3", None, ""), (4, "h4", None, ""),
+                               (5, "h5", "", ""), (6, "h6", "", ""), (7, "h1", "u1", "C")])
+    assert rows(upsert_rejects(empty, first), "seq") == [(2,)]
+    store = upsert(empty, first).checkpoint()
+    assert rows(store, "id", "content_hash", "alt_sources") == [
+        (1, "h1", "A,C"), (2, "h3", ""), (3, "h4", ""), (4, "h5", ""), (5, "h6", "")]
+    # a stored url refuses other contents; a stored hash merges whatever its url; the refused row adds nothing
+    again = _with_urls(spark, [(8, "h9", "u1", "D"), (9, "h1", "u7", "E"), (10, "h8", "u7", "")])
+    assert rows(upsert_rejects(store, again), "seq") == [(8,)]
+    out = upsert(store, again)
+    assert rows(out.where("id = 1"), "url", "alt_sources") == [("u1", "A,C,E")]
+    assert rows(out.where("id > 5"), "id", "content_hash", "url") == [(6, "h8", "u7")]
+
+
+def test_upsert_keeps_null_hashes_apart(spark):
+    empty = spark.createDataFrame([], ARTICLES_SCHEMA)
+    batch = _with_urls(spark, [(1, None, None, ""), (2, None, None, ""), (3, None, "u1", ""), (4, None, "u1", ""),
+                               (5, "h", "u1", "")])
+    assert rows(upsert(empty, batch), "id", "title") == [(1, "t1"), (2, "t2"), (3, "t3")]
+    assert rows(upsert_rejects(empty, batch), "seq") == [(4,), (5,)]
+    assert rows(upsert(empty, batch.limit(0))) == []
