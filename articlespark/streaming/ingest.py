@@ -3,16 +3,17 @@
 * ``stream_exact_ingest`` (X1 + X2 + D1/D4 core): a file-source stream of raw
   records; each micro-batch keeps the first row per content hash (by ``seq``)
   and appends only hashes the store does not hold yet.  The store table *is*
-  the dedupe state, so a replayed batch (same ``batch_id``) overwrites its own
-  partition and stays idempotent.  The store read is limited to the dedupe
-  horizon (partition pruning on ``ingest_day``).
+  the dedupe state.  Each micro-batch owns one folder, named by its feed (the id
+  that the checkpoint holds) and batch id: a replay replaces it, and other
+  feeds, or the same one after its checkpoint was lost, can't touch it.  The
+  store read is limited to the dedupe horizon (a filter on ``ingest_day``).
 * ``dedupe_within_watermark`` (X2, state-store form): Spark's
   ``dropDuplicatesWithinWatermark`` on the content hash; state is bounded by
   the watermark instead of re-reading stored hashes.
-* ``stream_daily_sentiment`` (X3): tumbling 1-day windows with a watermark in
-  update mode; every micro-batch appends the windows it changed, tagged with
-  its batch id, and ``latest_windows`` keeps the newest version per window.
-  Rows later than the watermark are dropped (the stated late-data policy).
+* ``stream_daily_sentiment`` (X3): every micro-batch writes its own sums for
+  each day it has rows of, and ``latest_windows`` adds them up, so rows count
+  however late they come and no state is held.  ``daily_window_agg`` is the
+  form with a watermark, which drops rows that are later.
 * ``snapshot_digest`` / ``changed_rows`` (X4): an order-independent digest of
   a snapshot and a per-row change feed, for "re-render only when changed".
 
@@ -22,6 +23,7 @@ never a machine-local temp folder.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,12 +60,26 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType, glob:
     return r.load(directory)
 
 
+def feed_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a checkpoint: the same after a restart, new
+    where the checkpoint is new."""
+    return json.loads("".join(r[0] for r in spark.read.text(f"{checkpoint}/metadata").collect()))["id"]
+
+
+def _batch_path(spark: SparkSession, out_path: str, checkpoint: str, batch_id: int) -> str:
+    """The folder that one micro-batch of one feed owns: a replay replaces it, and
+    no other feed or checkpoint (whose batch ids start at 0 again) writes to it."""
+    return f"{out_path}/feed={feed_id(spark, checkpoint)}/batch_id={batch_id}"
+
+
 def stream_exact_ingest(raw_stream: DataFrame, store_path: str, checkpoint: str,
                         horizon_days: int = 3, available_now: bool = True,
                         processing_time: str | None = None):
     """Run the exact-dedupe ingest stream into ``store_path``.
 
-    ``raw_stream`` carries ``seq, title, content, source, ingested_at``.
+    ``raw_stream`` carries ``seq, title, content, source, ingested_at``; rows
+    without a time are compared with the whole store, and stored ones with every
+    batch.  Feeds may share a store if they run one after another.
     Returns the started query (already finished when ``available_now``).
     """
     spark = raw_stream.sparkSession
@@ -72,14 +88,13 @@ def stream_exact_ingest(raw_stream: DataFrame, store_path: str, checkpoint: str,
         b = batch.withColumn("content_hash", content_hash("content"))
         b = keep_first(b, ["content_hash"], "seq").withColumn("ingest_day", F.to_date("ingested_at"))
         if _path_exists(spark, store_path):
-            lo = b.select(F.date_sub(F.min("ingest_day"), horizon_days)).scalar()
-            known = (spark.read.parquet(store_path)
-                     .where((F.col("ingest_day") >= lo) & (F.col("batch_id") != batch_id))
-                     .select("content_hash"))
-            b = b.join(known, "content_hash", "left_anti")
-        (b.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id", "ingest_day").parquet(store_path))
+            lo, timeless = b.agg(F.date_sub(F.min("ingest_day"), horizon_days), F.count_if(F.col("ingest_day").isNull())).first()
+            own = (F.col("feed") == feed_id(spark, checkpoint)) & (F.col("batch_id") == batch_id)
+            known = spark.read.schema("content_hash string, ingest_day date, feed string, batch_id long").parquet(store_path).where(~own)
+            if lo is not None and not timeless:
+                known = known.where((F.col("ingest_day") >= lo) | F.col("ingest_day").isNull())
+            b = b.join(known.select("content_hash"), "content_hash", "left_anti")
+        b.write.mode("overwrite").parquet(_batch_path(spark, store_path, checkpoint, batch_id))
 
     w = raw_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
@@ -102,28 +117,27 @@ def dedupe_within_watermark(raw_stream: DataFrame, horizon: str = "72 hours",
 
 def daily_window_agg(scored: DataFrame, ts: str = "ts", score: str = "score",
                      watermark: str = "3 days") -> DataFrame:
-    """X3 body: running per-day sums for A4 over a stream."""
-    s = F.col(score)
+    """X3 with a watermark: running per-day sums for A4 over a stream."""
     return (scored.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, "1 day").alias("w"))
-            .agg(F.sum(s).alias("score_sum"), F.count(s).alias("total"),
-                 F.count_if(s > 0.1).alias("pos"), F.count_if(s < -0.1).alias("neg")))
+            .groupBy(F.window(ts, "1 day").alias("w")).agg(*_sums(F.col(score))))
+
+
+def _sums(s: Column) -> list[Column]:
+    return [F.sum(s).alias("score_sum"), F.count(s).alias("total"),
+            F.count_if(s > 0.1).alias("pos"), F.count_if(s < -0.1).alias("neg")]
 
 
 def stream_daily_sentiment(scored_stream: DataFrame, out_path: str, checkpoint: str,
-                           watermark: str = "3 days", available_now: bool = True,
-                           refresh: str = "30 seconds"):
-    """Update-mode windowed aggregate; each batch appends changed windows."""
-    agg = daily_window_agg(scored_stream, watermark=watermark)
+                           available_now: bool = True, refresh: str = "30 seconds"):
+    """``scored_stream`` (``ts, score``) as one row of sums per micro-batch and
+    day; rows without a time are left out."""
+    spark = scored_stream.sparkSession
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("day_start"), "score_sum", "total", "pos", "neg")
-         .withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
+        (batch.where("ts IS NOT NULL").groupBy(F.to_date("ts").alias("day")).agg(*_sums(F.col("score")))
+         .write.mode("overwrite").parquet(_batch_path(spark, out_path, checkpoint, batch_id)))
 
-    w = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint))
+    w = scored_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=refresh)
     q = w.start()
     if available_now:
@@ -132,12 +146,10 @@ def stream_daily_sentiment(scored_stream: DataFrame, out_path: str, checkpoint:
 
 
 def latest_windows(spark: SparkSession, out_path: str) -> DataFrame:
-    """Newest version of every window written by ``stream_daily_sentiment``
-    (an aggregate: max by batch id per window)."""
-    df = spark.read.parquet(out_path)
-    best = df.groupBy("day_start").agg(
-        F.max_by(F.struct("score_sum", "total", "pos", "neg"), F.col("batch_id")).alias("v"))
-    return best.select(F.to_date("day_start").alias("day"), "v.*").select(
+    """The days written by ``stream_daily_sentiment``, over all its micro-batches."""
+    parts = spark.read.parquet(out_path)
+    days = parts.groupBy("day").agg(*(F.sum(c).alias(c) for c in ("score_sum", "total", "pos", "neg")))
+    return days.select(
         "day", (F.col("score_sum") / F.col("total")).alias("avg_score"), "pos", "neg", "total",
         F.try_divide(F.col("pos"), F.col("total")).alias("pos_ratio"),
         F.try_divide(F.col("neg"), F.col("total")).alias("neg_ratio"))
