@@ -16,9 +16,9 @@ ART_SCHEMA = "id long, title string, content string, source string, date timesta
 @pytest.fixture
 def store3(spark):
     arts = spark.createDataFrame([
-        (1, "AI Breakthrough", "New AI model", "BBC", datetime(2025, 6, 1, 10), "tech", 0.5),
-        (2, "Market Crash", "Stocks fall", "VnExpress", datetime(2025, 6, 2, 11), "finance", -0.6),
-        (3, "Neutral News", "Nothing happened", "BBC", datetime(2025, 6, 3, 9), "world", 0.0),
+        (1, "Bridge Reopens", "Traffic flows again", "BBC", datetime(2025, 6, 1, 10), "tech", 0.5),
+        (2, "Mill Closes", "Workers sent home", "VnExpress", datetime(2025, 6, 2, 11), "finance", -0.6),
+        (3, "Council Meets", "No vote taken", "BBC", datetime(2025, 6, 3, 9), "world", 0.0),
     ], ART_SCHEMA)
     sources = spark.createDataFrame([(1, "BBC"), (2, "VnExpress")], "id long, name string")
     return arts, sources
@@ -117,7 +117,7 @@ def test_feed_filters(spark, store3):
 def test_feed_page_and_counters(spark, store3):
     arts, _ = store3
     page = feed.feed_page(arts, "2025-06-10 00:00:00", limit=2).collect()
-    assert [r.title for r in page] == ["Neutral News", "Market Crash"]
+    assert [r.title for r in page] == ["Council Meets", "Mill Closes"]
     assert page[1].sentiment == "negative" and page[0].timestamp == "2025-06-03 09:00"
     c = feed.feed_counters(arts, limit=2).first()
     assert (c.showing, c.total) == (2, 3)
