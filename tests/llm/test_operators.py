@@ -327,3 +327,27 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
     kept = {r["doc_id"] for r in docs.collect()}
     assert set(range(60)) <= kept and not kept & {70, 71, 901, 902, 903, 904}
     assert p.STAGES[-1][1](spark, docs, str(tmp_path)).where("mix_copies < 1").count() == 0
+
+
+def test_components_match_union_find(spark, tmp_path):
+    import random
+
+    from articlespark.llm.components import components
+
+    rnd = random.Random(5)
+    pairs = [(k, k + 1) for k in range(100, 130)] + [(200, k) for k in range(201, 240)] + [(7, 7), (9, 8), (9, 8)]
+    pairs += [(rnd.randrange(300, 400), rnd.randrange(300, 400)) for _ in range(60)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    alone = {x for x in root if all(a == b for a, b in pairs if x in (a, b))}  # loops are no edges
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if x not in alone}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
