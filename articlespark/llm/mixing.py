@@ -5,8 +5,10 @@ most ``max_repeats`` times its own size; what a cap cuts off is shared again by
 weight.  A source gives whole epochs first (all its documents, once each); the
 budget that remains is fitted on the histogram of exact document lengths: each
 length gives its proportional number of documents, rounded down, and bounded
-knapsack dynamic programming fits what rounding left over.  Which documents of a
-length are taken follows from a seeded hash.
+knapsack dynamic programming fits what rounding left over.  A source with texts of
+over ``KNAPSACK`` words that is still off its target is fitted without the
+proportions, if its sums are few enough.  Which documents of a length are taken
+follows from a seeded hash.
 
 Only histograms meet in one task: a source's rows are counted by length before
 any shuffle of groups, and a length's documents are dealt into salted buckets of
@@ -31,9 +33,11 @@ from ..operators.ids import dense_ids
 from .common import fresh, ready, row_ids, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words that dynamic programming fits at most; proportional rounding and a greedy
-#: pass leave it no more, whatever the budget.
+#: Words that proportional rounding and the greedy passes leave to dynamic programming
+#: where the documents allow it; where those that remain are longer, all of it is fitted.
 KNAPSACK = 1 << 16
+#: Bits that a free fit of a source with texts over that may hold.
+FREE_FIT_BITS = 1 << 28
 BUCKET = 256
 
 
@@ -86,6 +90,24 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, in
     return taken
 
 
+def fit_rest(sizes: list[int], counts: list[int], rest: int, limit: int = KNAPSACK) -> dict[int, int]:
+    """How many of each size come nearest to what the greedy passes left: where ``rest``
+    is over ``limit``, every size that remains is over ``rest - limit``."""
+    if rest <= 2 * limit:
+        return knapsack(sizes, counts, rest)
+    # Each is over half the rest: one document, or the two smallest, which are already more.
+    left = sorted((s, c) for s, c in zip(sizes, counts) if s and c)
+    if not left:
+        return {}
+    fits = [{}] + [{s: 1} for s, _ in left]
+    if left[0][1] > 1:
+        fits.append({left[0][0]: 2})
+    elif len(left) > 1:
+        fits.append({left[0][0]: 1, left[1][0]: 1})
+    given = lambda fit: sum(s * n for s, n in fit.items())
+    return min(fits, key=lambda fit: (abs(rest - given(fit)), given(fit)))
+
+
 def fit_lengths(sizes: list[int], counts: list[int], target: float, max_repeats: int = 3,
                 limit: int = KNAPSACK) -> tuple[int, list[int]]:
     """(whole epochs, documents of each size taken once more) for one source."""
@@ -108,8 +130,16 @@ def fit_lengths(sizes: list[int], counts: list[int], target: float, max_repeats:
             more = min(counts[k] - take[k], (rest - limit) // sizes[k])
             take[k] += more
             rest -= more * sizes[k]
-    extra = knapsack(sizes, [c - t for c, t in zip(counts, take)], min(rest, limit))
-    return epochs, [t + extra.get(s, 0) for s, t in zip(sizes, take)]
+    extra = fit_rest(sizes, [c - t for c, t in zip(counts, take)], rest, limit)
+    take = [t + extra.get(s, 0) for s, t in zip(sizes, take)]
+    off = abs(budget - sum(s * t for s, t in zip(sizes, take)))
+    if off and max(sizes) > limit:
+        steps = sum(min(c, 2 * budget // s).bit_length() for s, c in zip(sizes, counts) if s)
+        if 2 * budget * steps <= FREE_FIT_BITS:
+            free = knapsack(sizes, counts, budget)
+            if abs(budget - sum(s * n for s, n in free.items())) < off:
+                take = [free.get(s, 0) for s in sizes]
+    return epochs, take
 
 
 def _fit_source(max_repeats: int, limit: int):
