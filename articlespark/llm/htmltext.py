@@ -2,11 +2,14 @@
 
 The standard library's parser streams events; they become lines, one for each block
 of text, with its characters, tags and link characters.  Each line's text-to-tag
-ratio is smoothed with a Gaussian over its neighbours, and lines whose smoothed ratio
-reaches the threshold (the ratios' standard deviation) form the content cluster.  The
-cluster's text votes for the region it stands in: the innermost container with most
-of it, or the article around that.  All blocks of the region are the text, but for
-those in page furniture (navigation, forms, asides, adverts, comments, ...).
+ratio (no more than a full paragraph's) is smoothed with a Gaussian over its
+neighbours, and lines whose smoothed ratio reaches the threshold (the ratios' standard
+deviation) form the content cluster.  If most of the cluster stands in articles, the
+articles that hold some of it are the region.  Otherwise it is the innermost container
+of most of it, and of all its lines that have a ratio of their own; around the former,
+containers of links without a line of the cluster are left out.  All blocks of the
+region are the text, but for those in page furniture (navigation, forms, asides,
+adverts, comments, ...).
 
 Defined results: a null or empty page has an empty text, so has one without text
 outside furniture; markup that is cut off or broken yields the text parsed so far;
@@ -28,6 +31,8 @@ from .common import ready
 
 SIGMA = 1.0
 REGION_SHARE = 0.7
+#: A ratio counts up to that of a full paragraph (characters for each tag).
+PARAGRAPH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s
@@ -184,28 +189,61 @@ def content_blocks(html: str | None, sigma: float = SIGMA) -> list[str]:
     lines = page.lines
     if not any(not x.furniture for x in lines):
         return []
-    ratio = np.array([0.0 if x.furniture else max(0, len(x.text) - 2 * x.links) / x.tags for x in lines])
-    smoothed = smooth(ratio, sigma)
-    limit = smoothed.std()
+    ratio, smoothed, limit = ratios(lines, sigma)
     cluster = [k for k, x in enumerate(lines) if not x.furniture and ratio[k] > 0 and smoothed[k] >= limit] \
         or [k for k, x in enumerate(lines) if not x.furniture]
-    votes, parent = [0] * len(page.parent), page.parent
-    for k in cluster:
-        votes[lines[k].region] += len(lines[k].text)
-    for r in range(len(votes) - 1, 0, -1):  # a region's number is larger than its parent's
-        votes[parent[r]] += votes[r]
-    chosen = max(r for r in range(len(votes)) if votes[r] >= REGION_SHARE * votes[0])
-    up = chosen
-    while up > 0:
-        if page.names[up] in ("article", "main"):
-            chosen = up
-        up = parent[up]
-    inside = [False] * len(votes)
-    for r in range(len(votes)):
-        inside[r] = r == chosen or r > 0 and inside[parent[r]]
+    inside = content_regions(page, cluster, [k for k in cluster if ratio[k] >= limit / 2] or cluster)
     return [x.text for x in lines if inside[x.region] and not x.furniture]
 
 
+def ratios(lines: list[Line], sigma: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Text-to-tag ratios, as they are and smoothed, and the content cluster's threshold."""
+    ratio = np.array([0.0 if x.furniture else min(PARAGRAPH, max(0, len(x.text) - 2 * x.links) / x.tags) for x in lines])
+    smoothed = smooth(ratio, sigma)
+    return ratio, smoothed, smoothed.std()
+
+
+def content_regions(page: LineParser, cluster: list[int], plain: list[int]) -> list[bool]:
+    """Which regions the text stands in; ``plain`` are the cluster's lines whose own
+    ratio, not only their neighbours', tells them from headings and notes."""
+    lines, parent, n = page.lines, page.parent, len(page.parent)
+    article = [-1] * n  # the outermost article around a region
+    for r in range(n):  # a region's number is larger than its parent's
+        up = article[parent[r]] if r else -1
+        article[r] = up if up >= 0 else r if page.names[r] in ("article", "main") else -1
+
+    def total(of: list[int], worth) -> list[int]:
+        votes = [0] * n
+        for k in of:
+            votes[lines[k].region] += worth(lines[k])
+        for r in range(n - 1, 0, -1):
+            votes[parent[r]] += votes[r]
+        return votes
+
+    def within(top: set[int]) -> list[bool]:
+        found = [False] * n
+        for r in range(n):
+            found[r] = r in top or r > 0 and found[parent[r]]
+        return found
+
+    texts, seen = total(cluster, lambda x: len(x.text)), total(cluster, lambda x: 1)
+    outer = {a for a in article if a >= 0}
+    if sum(texts[a] for a in outer) >= REGION_SHARE * texts[0]:
+        return within({a for a in outer if texts[a]})
+    core = max(r for r in range(n) if texts[r] >= REGION_SHARE * texts[0])
+    held, region, around = total(plain, lambda x: 1), core, {core}
+    while held[region] < len(plain):
+        region = parent[region]
+        around.add(region)
+    every = [k for k, x in enumerate(lines) if not x.furniture]
+    chars, links = total(every, lambda x: len(x.text)), total(every, lambda x: x.links)
+    in_core, found = within({core}), [False] * n
+    for r in range(n):
+        found[r] = r == region or r > 0 and found[parent[r]] and (
+            in_core[r] or r in around or seen[r] > 0 or 2 * links[r] <= chars[r])
+    return found
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = ["\n\n".join(content_blocks(h.as_py())) for h in batch.column(2)]
