@@ -9,7 +9,9 @@ articles that hold some of it are the region.  Otherwise it is the innermost con
 of most of it, and of all its lines that have a ratio of their own; around the former,
 containers of links without a line of the cluster are left out.  All blocks of the
 region are the text, but for those in page furniture (navigation, forms, asides,
-adverts, comments, ...).
+adverts, comments, ...), by element or by the words of class, id and role.  Inside an
+article, a word that may be its topic, or the id of a heading, counts only for blocks
+of links or without a passing ratio.
 
 Defined results: a null or empty page has an empty text, so has one without text
 outside furniture; markup that is cut off or broken yields the text parsed so far;
@@ -46,17 +48,32 @@ sponsors promo promos promotion cookie cookies consent gdpr notice notices popup
 subscription share sharing social related recommended recommendations comment comments commentlist respond replies
 disqus sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead pagination
 pager login signup search widget widgets toolbar skip complementary contentinfo alert""".split())
-#: Words beside which those describe a layout, not furniture.
-LAYOUT_WORDS = frozenset("with has no without layout wrapper container page".split())
+#: Words directly before which those describe a layout, not furniture.
+LAYOUT_WORDS = frozenset("with has no without".split())
+#: A wrapper of these parts that holds most of the page's text is not one of them.
+WRAPPER_WORDS = frozenset("layout wrapper wrap container page".split())
+PART_WORDS = frozenset("footer header masthead menu menus nav navbar navigation sidebar sidebars toolbar".split())
+#: Words that may name what an article is about; inside one they need evidence.
+TOPIC_WORDS = frozenset("""advertisement advertising alert header login menu menus navigation promotion
+recommendations related replies search share sharing social sponsors subscription widgets""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+class Mark:
+    """A block that is furniture by name, if its content bears that out."""
+    __slots__ = ("up", "wrapper", "heading", "titled")
+
+    def __init__(self, up: int, wrapper: bool, heading: bool):
+        self.up, self.wrapper, self.heading, self.titled = up, wrapper, heading, heading
+
+
 class Line:
-    __slots__ = ("text", "links", "tags", "region", "furniture")
+    __slots__ = ("text", "links", "tags", "region", "furniture", "mark")
 
-    def __init__(self, text: str, links: int, tags: int, region: int, furniture: bool):
+    def __init__(self, text: str, links: int, tags: int, region: int, furniture: bool, mark: int = -1):
         self.text, self.links, self.tags = text, links, tags
-        self.region, self.furniture = region, furniture
+        self.region, self.furniture, self.mark = region, furniture, mark
 
 
 class LineParser(HTMLParser):
@@ -67,7 +84,9 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parent, self.names = [-1], ["html"]  # regions, 0 is the page
-        self.stack: list[tuple[str, int, int]] = []  # name, region, depth of furniture
+        self.stack: list[tuple[str, int, int, int]] = []  # name, region, depth of furniture, mark
+        self.marks: list[Mark] = []
+        self.mark = -1  # the innermost open one
         self.open: dict[str, int] = {}
         self.region = self.furniture = self.tags = self.in_link = self.links = 0
         self.buffer: list[str] = []
@@ -76,22 +95,34 @@ class LineParser(HTMLParser):
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.lines.append(Line(text, self.links, max(1, self.tags), self.region, self.furniture > 0))
+                self.lines.append(Line(text, self.links, max(1, self.tags), self.region, self.furniture > 0, self.mark))
                 self.tags = 0
             self.buffer.clear()
             self.links = 0
 
     @staticmethod
-    def is_furniture(attrs: list[tuple[str, str | None]]) -> bool:
+    def is_furniture(attrs: list[tuple[str, str | None]], tag: str = "", in_article: bool = False) -> str:
+        """"yes"; "wrapper" or "topic" if it depends on the content; "" if not."""
+        found = ""
         for name, value in attrs:
             if name in ("class", "id", "role"):
-                words = set(_SPLIT.split((value or "").lower()))
-                if words & FURNITURE_WORDS and not words & LAYOUT_WORDS:
-                    return True
+                words, every = set(), set()
+                for token in (value or "").lower().split():
+                    parts = _SPLIT.split(token)
+                    every.update(parts)
+                    words.update(w for k, w in enumerate(parts) if w in FURNITURE_WORDS and not (k and parts[k - 1] in LAYOUT_WORDS))
+                if not words:
+                    continue
+                if in_article and name != "role" and (words <= TOPIC_WORDS or name == "id" and tag in HEADINGS):
+                    found = found or "topic"
+                elif words <= PART_WORDS and every & WRAPPER_WORDS:
+                    found = "wrapper"
+                else:
+                    return "yes"
             elif name == "hidden" or name == "aria-hidden" and value == "true" \
                     or name == "style" and re.search(r"display\s*:\s*none", value or ""):
-                return True
-        return False
+                return "yes"
+        return found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -104,16 +135,22 @@ class LineParser(HTMLParser):
                 self.flush()
             return
         if tag in INLINE:
-            if self.is_furniture(attrs) and tag != "a":
+            # An inline topic stays: its paragraph would be cut in pieces to judge it.
+            heading = next((h for h in HEADINGS if self.open.get(h)), tag)
+            if tag != "a" and self.is_furniture(attrs, heading, self.in_article()) == "yes":
                 self.push(tag, True)
             return
         self.flush()
         if self.open.get("p"):
             self.pop("p")
-        in_article = self.open.get("article") or self.open.get("main")
-        mark = tag in FURNITURE or tag == "header" and not in_article \
-            or tag not in ("html", "body", "article", "main") and self.is_furniture(attrs)
-        self.push(tag, mark)
+        in_article = self.in_article()
+        named = "" if tag in ("html", "body", "article", "main") else self.is_furniture(attrs, tag, in_article)
+        self.push(tag, tag in FURNITURE or tag == "header" and not in_article or named == "yes")
+        if named in ("wrapper", "topic"):
+            self.marks.append(Mark(self.mark, named == "wrapper", tag in HEADINGS))
+            self.mark = len(self.marks) - 1
+        if tag == "h1" and self.mark >= 0:
+            self.marks[self.mark].titled = True
         if tag in REGIONS:
             self.parent.append(self.region)
             self.names.append(tag)
@@ -124,16 +161,19 @@ class LineParser(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def in_article(self) -> bool:
+        return bool(self.open.get("article") or self.open.get("main"))
+
     def push(self, tag: str, mark: bool) -> None:
         if mark and tag in INLINE:
             self.flush()
-        self.stack.append((tag, self.region, self.furniture))
+        self.stack.append((tag, self.region, self.furniture, self.mark))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.furniture += mark
 
     def pop(self, tag: str) -> None:
         while True:
-            name, self.region, self.furniture = self.stack.pop()
+            name, self.region, self.furniture, self.mark = self.stack.pop()
             self.open[name] -= 1
             if name == tag:
                 return
@@ -189,6 +229,9 @@ def content_blocks(html: str | None, sigma: float = SIGMA) -> list[str]:
     lines = page.lines
     if not any(not x.furniture for x in lines):
         return []
+    judge_marks(page, sigma)
+    if all(x.furniture for x in lines):
+        return []
     ratio, smoothed, limit = ratios(lines, sigma)
     cluster = [k for k, x in enumerate(lines) if not x.furniture and ratio[k] > 0 and smoothed[k] >= limit] \
         or [k for k, x in enumerate(lines) if not x.furniture]
@@ -203,6 +246,38 @@ def ratios(lines: list[Line], sigma: float) -> tuple[np.ndarray, np.ndarray, flo
     return ratio, smoothed, smoothed.std()
 
 
+def judge_marks(page: LineParser, sigma: float) -> None:
+    """Decides what is furniture by name only if its content bears that out: wrappers of
+    page parts, unless most of the text is in them; and topics inside an article, if they
+    are mostly links or none of their lines has a passing ratio, but for titles."""
+    marks, lines = page.marks, page.lines
+    if not marks:
+        return
+    for wrapper in (True, False):
+        ratio, _, limit = ratios(lines, sigma)
+        chars, links, best, titled = ([0] * len(marks) for _ in range(4))
+        for k, x in enumerate(lines):
+            if x.mark >= 0 and not x.furniture:
+                chars[x.mark] += len(x.text)
+                links[x.mark] += x.links
+                best[x.mark] = max(best[x.mark], ratio[k])
+        for m in range(len(marks) - 1, -1, -1):  # a mark's number is larger than that around it
+            up, titled[m] = marks[m].up, titled[m] or marks[m].titled
+            if up >= 0:
+                chars[up] += chars[m]
+                links[up] += links[m]
+                best[up], titled[up] = max(best[up], best[m]), titled[up] or titled[m]
+        every = sum(len(x.text) for x in lines if not x.furniture)
+        gone = [False] * len(marks)
+        for m, mark in enumerate(marks):
+            if mark.wrapper == wrapper:
+                gone[m] = chars[m] < REGION_SHARE * every if wrapper else \
+                    not titled[m] and (2 * links[m] >= chars[m] or best[m] < limit / 2)
+            gone[m] = gone[m] or mark.up >= 0 and gone[mark.up]
+        for x in lines:
+            x.furniture = x.furniture or x.mark >= 0 and gone[x.mark]
+
+
 def content_regions(page: LineParser, cluster: list[int], plain: list[int]) -> list[bool]:
     """Which regions the text stands in; ``plain`` are the cluster's lines whose own
     ratio, not only their neighbours', tells them from headings and notes."""
