@@ -30,7 +30,6 @@ from .words import SEP, _lut, iter_words
 BUCKETS = 1 << 16
 #: Labelled documents that one language's counts are learned from at most, by hash.
 DOCS_PER_LANGUAGE = 50_000
-MAX_LANGUAGES = 4
 UNKNOWN = "und"
 MIN_SHARE = 0.005
 
@@ -126,7 +125,7 @@ def _words_of(first: np.ndarray, count: np.ndarray, some: np.ndarray) -> np.ndar
     return np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def infer(g: Grams, model: Model, max_languages: int = MAX_LANGUAGES, rounds: int = 8) -> np.ndarray:
+def infer(g: Grams, model: Model, rounds: int = 8) -> np.ndarray:
     """Shares of the languages in each document (rows of zeros without words)."""
     n_docs, k = len(g.first) - 1, len(model.labels)
     out = np.zeros((n_docs, k), dtype=np.float32)
@@ -144,7 +143,7 @@ def infer(g: Grams, model: Model, max_languages: int = MAX_LANGUAGES, rounds: in
     np.put_along_axis(strongest, order[:, :1], True, axis=1)
     best = strongest.astype(np.float32)
     best_value = np.add.reduceat(np.log(np.maximum(weight[np.arange(len(doc)), order[doc, 0]], 1e-30)), first)
-    for size in range(2, min(k, max_languages) + 1):
+    for size in range(2, k + 1):
         # A language without a noticeable share in the full mixture can't pay for itself.
         some = np.flatnonzero(np.take_along_axis(share, order[:, size - 1:size], axis=1)[:, 0] > MIN_SHARE)
         if not len(some):
