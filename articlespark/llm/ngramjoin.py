@@ -43,6 +43,8 @@ WIDTH = 5
 PERCENT = 75
 #: Documents and representatives for each fragment.
 FRAGMENT_DOCS, FRAGMENT_SETS, LEAST_FRAGMENTS = 10_000, 4_000, 64
+#: Prefix hashes of a fragment that one task looks up, about.
+TASK_HASHES = 1 << 19
 #: Representatives whose row numbers are broadcast at most; beyond that they are shuffled.
 BROADCAST_SETS = 500_000
 #: Pairs for each set up to which all pairs between components are tested at once.
@@ -167,10 +169,64 @@ def _frequency(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct hashes, and whether it has them more than once."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            hashes, n = np.unique(np.frombuffer(r["hashes"], "<u8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["frag"]], pa.int32()), pa.array([hashes.tobytes()], pa.binary()),
+                 pa.array([(n > 1).astype("<i8").tobytes()], pa.binary())], names=["frag", "hashes", "lens"])
+
+
+def _shared_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each fragment the hashes that occur more than once."""
+    for frag, (hashes, more) in _by_fragment(batches, ("hashes", "lens")):
+        shared = np.unique(hashes[(_frequency(hashes) > 1) | (more > 0)])
+        yield pa.RecordBatch.from_arrays([pa.array([frag], pa.int32()), pa.array([shared.tobytes()], pa.binary())],
+                                         names=["frag", "hashes"])
+
+
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, (rids, hashes) in _by_fragment(batches, ("rids", "hashes")):
-        rid, count = np.unique(rids[_frequency(hashes) > 1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(count.astype(np.int64))], names=["rid", "shared"])
+    """Each document's shared hashes; a fragment's list of them comes before its rows."""
+    frag, shared = None, np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        for r in batch.to_pylist():
+            hashes = np.frombuffer(r["hashes"], "<u8")
+            if r["rids"] is None:
+                frag, shared = r["frag"], hashes
+                continue
+            if r["frag"] != frag or not len(shared):
+                continue
+            found = shared[np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)] == hashes
+            rid, count = np.unique(np.frombuffer(r["rids"], "<i8")[found], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(count.astype(np.int64))], names=["rid", "shared"])
+
+
+def dealt_prefixes(prefixes: DataFrame, fragments: int) -> DataFrame:
+    """Rows (frag, rids, hashes) by tasks: those of a large fragment over several, each
+    with that fragment's list of shared hashes (rids are null) before its rows.  Hashes
+    are counted row by row before they meet."""
+    counted = prefixes.select("frag", "hashes").mapInArrow(_count_hashes, "frag int, hashes binary, lens binary")
+    lists = (counted.repartition(fragments, "frag").sortWithinPartitions("frag")
+             .mapInArrow(_shared_hashes, "frag int, hashes binary"))
+    tasks = written(prefixes.groupBy("frag").agg(
+        F.ceil(F.sum(F.octet_length("hashes") / 8) / TASK_HASHES).cast("int").alias("tasks")), "ngram-tasks")
+    total = tasks.agg(F.sum("tasks")).first()[0] or 1
+    tasks = F.broadcast(tasks)  # one row a fragment
+    lists = lists.join(tasks, "frag").select(
+        "frag", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(None).cast("binary").alias("rids"), "hashes")
+    rows = prefixes.join(tasks, "frag").select(
+        "frag", F.pmod(F.xxhash64("rids", "hashes"), F.col("tasks")).cast("int").alias("task"), "rids", "hashes")
+    both = lists.unionByName(rows).withColumn("late", F.col("rids").isNotNull())
+    return (both.repartition(max(fragments, int(total)), "frag", "task").sortWithinPartitions("frag", "task", "late")
+            .select("frag", "rids", "hashes"))
+
+
+def shared_counts(prefixes: DataFrame, fragments: int) -> DataFrame:
+    """(rid, shared): how many hashes of a prefix are in another one too."""
+    return dealt_prefixes(prefixes, fragments).mapInArrow(_count_shared, "rid bigint, shared bigint") \
+        .groupBy("rid").agg(F.sum("shared").alias("shared"))
 
 
 def _whole_sets(width: int, fragments: int):
@@ -303,8 +359,7 @@ class NgramJoin:
         fragments = max(LEAST_FRAGMENTS, -(-docs.count() // FRAGMENT_DOCS))
         pieces = written(texts.mapInArrow(_prefixes(width, percent, fragments), PIECE_SCHEMA), "ngram-prefixes")
         self.docs = written(pieces.where("frag = -1").mapInArrow(_unpack, "rid bigint, n bigint, s1 bigint, s2 bigint"), "ngram-docs")
-        shared = (pieces.where("frag >= 0").repartition(fragments, "frag").sortWithinPartitions("frag")
-                  .mapInArrow(_count_shared, "rid bigint, shared bigint").groupBy("rid").agg(F.sum("shared").alias("shared")))
+        shared = shared_counts(pieces.where("frag >= 0").select("frag", "rids", "hashes"), fragments)
         least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
         alive = self.docs.join(shared, "rid").where(F.col("shared") >= least)
         groups = alive.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"))
