@@ -14,10 +14,3 @@ def spark():
                       extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collect as sorted tuples (optionally of selected columns)."""
-    if cols:
-        df = df.select(*cols)
-    return sorted(tuple(r) for r in df.collect())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from articlespark.operators import aggregates as agg
 from articlespark.operators import feed
 from articlespark.operators.quantiles import exact_quantiles
-from conftest import rows
+from frames import rows
 
 ART_SCHEMA = "id long, title string, content string, source string, date timestamp, category string, " \
              "sentiment_score double"

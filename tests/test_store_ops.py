@@ -8,7 +8,7 @@ from articlespark.operators.ids import dense_ids
 from articlespark.operators.store import (fold_alt_sources, get_or_create_sources, purge, upsert, upsert_rejects,
                                           write_back_scores)
 from articlespark.sources.tables import ARTICLES_SCHEMA
-from conftest import rows
+from frames import rows
 
 
 def test_exact_dedupe_by_url_title_and_content(spark):
