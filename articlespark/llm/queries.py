@@ -173,3 +173,24 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = row_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "rid")
     return score_documents(docs, "rid").drop("rid")
+
+
+@_register("op11_embedding_dups", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([1 FOR x IN embedding IF x <> 0]) > 0),
+u AS (SELECT vec_id, label, e, sqrt(list_sum([x * x FOR x IN e])) AS norm FROM v),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y
+  FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_sum([a.e[i] * b.e[i] FOR i IN range(1, len(a.e) + 1)]) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.vec_id),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id) LEFT JOIN n ON x = vec_id""")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import link_vectors
+
+    return link_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
