@@ -194,3 +194,47 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import link_vectors
 
     return link_vectors(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@_register("op12_whitening")
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def _cluster_sql(rounds: int = 3) -> str:
+    sql = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q
+  FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 16))"""
+    for k in range(rounds + 1):
+        sql += f""",
+a{k} AS (
+  SELECT rid, vec_id, q, c, d
+  FROM (SELECT v.rid, v.vec_id, v.q, c.c,
+               list_sum([(v.q[i] - c.q[i]) * (v.q[i] - c.q[i]) FOR i IN range(1, 65)])::BIGINT AS d
+        FROM v, c{k} c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+        if k < rounds:
+            sql += f""",
+m{k} AS (
+  SELECT c, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS q
+  FROM (SELECT c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 65) r(i) GROUP BY c, i) GROUP BY c),
+c{k + 1} AS (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m USING (c))"""
+    return sql + f"""
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(e.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} e USING (c)"""
+
+
+@_register("op13_centroid_clusters", _cluster_sql())
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zonecluster import cluster
+
+    return cluster(read_table(spark, sf_dir, "embeddings"))
