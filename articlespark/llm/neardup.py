@@ -43,6 +43,8 @@ THRESHOLD = 0.93
 BUCKET_ROWS, MISS = 64, 0.001
 #: Rows of a block, and of the slice of it that one product takes.
 BLOCK_ROWS, SLICE = 8192, 512
+#: Large buckets that may be broadcast.
+BROADCAST_ROWS = 50_000
 SEED = 20240229
 
 
@@ -182,11 +184,17 @@ def _compare(threshold: float, store: str, code_type: np.dtype):
 def _buckets(nodes: DataFrame, block_rows: int) -> DataFrame:
     """A row for each node and table (for each pair of blocks, in large buckets)."""
     bucket = ["label", "dims", "tab", "code"]
-    coded = nodes.select("*", F.posexplode("codes").alias("tab", "code"))
-    sizes = nodes.select("label", "dims", F.posexplode("codes").alias("tab", "code")).groupBy(*bucket).count()
-    # Buckets of one node hold no pair; large ones are few, and as many as n / block_rows at most for a table.
-    sizes = sizes.where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")).drop("count")
-    dealt = coded.join(sizes, bucket).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = nodes.select("label", "dims", F.posexplode("codes").alias("tab", "code")).groupBy(*bucket).count() \
+        .where(F.col("count") > block_rows)
+    large = written(large.withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("int")).drop("count"), "vector-buckets")
+    found = large.count()
+    dealt = nodes.select("*", F.posexplode("codes").alias("tab", "code"))
+    if found:
+        dealt = dealt.join(F.broadcast(large) if found <= BROADCAST_ROWS else large, bucket, "left")
+    else:
+        dealt = dealt.withColumn("blocks", F.lit(None).cast("int"))
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(
         *bucket, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
