@@ -6,14 +6,21 @@ them to fresh paths and switches its pointer (nothing is overwritten in place).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import score_lexicon
+from ..functions.text import doc_text
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import ARTICLES_SCHEMA
+from ..sources.versions import ArticleStore
 from .dedupe import exact_deduplicate, with_content_hash
-from .fuzzy import fuzzy_deduplicate
-from .store import enrich, get_or_create_sources, upsert, write_back_scores
+from .feed import recent
+from .fuzzy import fuzzy_deduplicate, source_updates, store_matches
+from .store import enrich, get_or_create_sources, insertions, upsert, write_back_scores
+from .tfidf import corpus_stats, term_counts, weights
 
 
 def ingest_batch(raw: DataFrame, articles: DataFrame, sources: DataFrame, now,
@@ -34,14 +41,82 @@ def ingest_batch(raw: DataFrame, articles: DataFrame, sources: DataFrame, now,
     articles = (articles.join(upd, "id", "left")
                 .withColumn("alt_sources", F.coalesce("_alt", "alt_sources")).drop("_alt"))
     sources = get_or_create_sources(survivors, sources)
+    return upsert(articles.select(*ARTICLES_SCHEMA.names), _as_articles(survivors, sources), order="seq"), sources, matches
+
+
+def _as_articles(survivors: DataFrame, sources: DataFrame) -> DataFrame:
+    """Raw records as article rows without an id, in ARTICLES_SCHEMA and ``seq``."""
     sid = sources.select(F.col("name").alias("source"), F.col("id").alias("source_id"))
-    new_rows = (survivors.join(sid, "source", "left")
-                .withColumn("id", F.lit(None).cast("long"))
-                .withColumn("alt_sources", F.lit(""))
-                .withColumn("sentiment_score", F.lit(0.0)))  # F18 defaults at insert
-    cols = [f.name for f in ARTICLES_SCHEMA.fields]
-    new_rows = new_rows.select(*[F.col(c).cast(ARTICLES_SCHEMA[c].dataType) for c in cols], "seq")
-    return upsert(articles.select(*cols), new_rows, order="seq"), sources, matches
+    rows = (survivors.join(sid, "source", "left")
+            .withColumn("id", F.lit(None).cast("long"))
+            .withColumn("alt_sources", F.lit(""))
+            .withColumn("sentiment_score", F.lit(0.0)))  # F18 defaults at insert
+    return rows.select(*[F.col(c).cast(ARTICLES_SCHEMA[c].dataType) for c in ARTICLES_SCHEMA.names], "seq")
+
+
+@dataclass
+class StoredCorpus:
+    """What D2 needs of the store: the counts of its recent articles, (id, term, tf), how
+    often terms occur in them, (term, df, corpus_tf), and their number (a Column)."""
+    counts: DataFrame
+    stats: DataFrame
+    documents: object
+
+
+def stored_corpus(store: ArticleStore, state: dict, now=None, horizon_hours: float | None = 72) -> StoredCorpus:
+    """A10 without reading a text: the store's document frequencies by day are added
+    up; only the day that the horizon cuts is counted again, from its term counts."""
+    if horizon_hours is None:
+        terms, days = store.terms(state), store.term_days(state)
+    else:
+        lo = F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(float(horizon_hours) * 3600))
+        edge = store.spark.range(1).select(F.date_format(lo, "yyyy-MM-dd")).first()[0]
+        terms = recent(store.terms(state, since=edge), now, horizon_hours)
+        days = store.term_days(state, since=edge).where(F.col("day") > edge).drop("day")
+        cut = terms.where(F.col("day") == edge).select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.tf")
+        days = days.unionByName(corpus_stats(cut)) \
+            .unionByName(terms.where(F.col("day") == edge).agg(F.count(F.lit(1)).alias("df")), allowMissingColumns=True)
+    stats = days.groupBy("term").agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
+    documents = stats.where("term IS NULL").select(F.coalesce(F.sum("df"), F.lit(0))).scalar()
+    counts = terms.select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.tf")
+    return StoredCorpus(counts, stats.where("term IS NOT NULL"), documents)
+
+
+def ingest_into(store: ArticleStore, raw: DataFrame, now=None, horizon_hours: float | None = 72, threshold: float = 0.85,
+                cap: int | None = None, feed: str | None = None, batch_id: int = 0) -> bool:
+    """D3 as one commit of ``store``: the rows that ``ingest_batch`` would give, without
+    rewriting days that the batch does not touch and without tokenising stored texts
+    again.  A batch that its feed has committed already changes nothing (returns False).
+    ``now=None``: the newest ``ingested_at`` of the batch."""
+    ensure_checkpoint_dir(store.spark)
+    state = store.state()
+    if feed is not None and store.is_done(feed, batch_id, state):
+        return False
+    raw = raw.checkpoint()
+    if now is None and horizon_hours is not None and "ingested_at" in raw.columns:
+        now = raw.agg(F.max("ingested_at")).first()[0]
+    batch = exact_deduplicate(with_content_hash(raw)).checkpoint()
+    articles, sources = store.articles(state), store.sources(state)
+    # The batch's own counts; each document's in one row, as the store keeps them.
+    texts = batch.select((-F.col("seq") - 1).alias("id"), doc_text("title", "content").alias("text")).where("text IS NOT NULL")
+    counts = term_counts(texts, "id", "text").checkpoint()
+    known = stored_corpus(store, state, now, horizon_hours)
+    stats = known.stats.unionByName(corpus_stats(counts)).groupBy("term") \
+        .agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
+    documents = known.documents + texts.select(F.count(F.lit(1))).scalar()
+    vectors = weights(known.counts.unionByName(counts), stats, documents, cap, with_counts=True).checkpoint()
+    matches = store_matches(vectors, threshold).checkpoint()
+    survivors = batch.join(matches.select("seq"), "seq", "left_anti")
+    sources = get_or_create_sources(survivors, sources).checkpoint()
+    inserted = insertions(articles, _as_articles(survivors, sources)).checkpoint()
+    arrays = counts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+    own = texts.select("id").join(arrays, "id", "left") \
+        .select((-F.col("id") - 1).alias("seq"), F.coalesce("terms", F.array().cast("array<struct<term:string,tf:bigint>>")).alias("terms"))
+    # Articles of an unknown source are no candidates of later batches (J1's inner join).
+    terms = inserted.where("source_id IS NOT NULL").select("seq", "id", "date").join(own, "seq").drop("seq").checkpoint()
+    updates = source_updates(batch, matches, articles).checkpoint()
+    store.commit(state, inserted, updates, sources, terms, feed, batch_id)
+    return True
 
 
 def rescore(articles: DataFrame, lexicon: DataFrame, text_col: str = "content") -> DataFrame:

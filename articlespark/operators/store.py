@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..functions.text import fold_sources, tokens
+from ..session import ensure_checkpoint_dir
 from .dedupe import keep_first
 from .ids import dense_ids
 from ..sources.tables import (ARTICLE_KEYWORDS_SCHEMA, ARTICLES_SCHEMA, KEYWORDS_SCHEMA,
@@ -91,7 +92,8 @@ def prune_bridge(article_keywords: DataFrame, kept_articles: DataFrame) -> DataF
 def _new_keys(store: DataFrame, batch: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """Narrow ``(order, content_hash, url)`` rows of the batch whose hash the
     store does not hold: those that may be inserted, and those refused because
-    their url belongs to another article."""
+    their url belongs to another article.  Both read one checkpointed decision."""
+    ensure_checkpoint_dir(batch.sparkSession)
     new = (batch.select(order, "content_hash", F.nullif("url", F.lit("")).alias("url"))
            .join(store.select("content_hash"), "content_hash", "left_anti"))
     stored = store.where("url <> ''").groupBy("url").agg(F.lit(None).cast(new.schema[order].dataType).alias("_by"),
@@ -102,8 +104,24 @@ def _new_keys(store: DataFrame, batch: DataFrame, order: str) -> tuple[DataFrame
     owners = stored.unionByName(claimed)
     # the owner itself and later copies of its text are no conflict
     same = F.col("_by").eqNullSafe(F.col(order)) | F.coalesce(F.col("content_hash") == F.col("_owner"), F.lit(False))
-    refused = new.join(owners, "url").where(~same).select(order)
-    return new.join(refused, order, "left_anti"), refused
+    decided = (new.join(owners.withColumn("_taken", F.lit(True)), "url", "left")
+               .select(order, "content_hash", "url", (F.col("_taken").isNotNull() & ~same).alias("_refused")).checkpoint())
+    return decided.where("NOT _refused").drop("_refused"), decided.where("_refused").select(order)
+
+
+def numbered_insertions(new: DataFrame, store: DataFrame, order: str) -> DataFrame:
+    """``(order, id)``: the first row of each new hash (NULL hashes stay apart) and
+    its id, ``max(store id) + rank``."""
+    base = store.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    first = keep_first(new, ["content_hash"], order, null_keys="distinct").select(order)
+    return dense_ids(first, [order], start=base + 1)
+
+
+def insertions(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
+    """D4, its insert half: the batch's rows that ``upsert`` inserts, whole and with
+    their new ids.  Of the store only the columns id, content_hash and url are read."""
+    new, _ = _new_keys(store, batch, order)
+    return batch.drop("id").join(numbered_insertions(new, store, order), order)
 
 
 def upsert_rejects(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
@@ -148,9 +166,7 @@ def upsert(store: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
         F.when(F.col("_adds").isNull(), F.col("alt_sources"))
         .otherwise(fold_sources(F.col("alt_sources"), F.col("_adds")))).drop("_adds")
 
-    base = store.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    first = keep_first(new, ["content_hash"], order, null_keys="distinct").select(order)
-    fresh = batch.drop("id").join(dense_ids(first, [order], start=base + 1), order)
+    fresh = batch.drop("id").join(numbered_insertions(new, store, order), order)
     # alt_sources of a fresh row: its own value folded with later copies'
     fresh = fresh.join(adds_per_hash, "content_hash", "left").withColumn(
         "alt_sources",

@@ -7,6 +7,8 @@
   that the checkpoint holds) and batch id: a replay replaces it, and other
   feeds, or the same one after its checkpoint was lost, can't touch it.  The
   store read is limited to the dedupe horizon (a filter on ``ingest_day``).
+* ``stream_into_store`` (X1 + D3): the whole ingest of each micro-batch as one commit of
+  the versioned article store (``sources/versions.py``).
 * ``dedupe_within_watermark`` (X2, state-store form): Spark's
   ``dropDuplicatesWithinWatermark`` on the content hash; state is bounded by
   the watermark instead of re-reading stored hashes.
@@ -32,7 +34,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import content_hash
 from ..operators.dedupe import keep_first
+from ..operators.ingest import ingest_into
 from ..session import scratch_path
+from ..sources.versions import ArticleStore
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -104,6 +108,26 @@ def stream_exact_ingest(raw_stream: DataFrame, store_path: str, checkpoint: str,
     return q
 
 
+def stream_into_store(raw_stream: DataFrame, store_path: str, checkpoint: str, now=None, horizon_hours: float | None = 72,
+                      threshold: float = 0.85, available_now: bool = True, processing_time: str | None = None):
+    """X1 + D3: every micro-batch of raw records (RAW_SCHEMA) is one commit of the article
+    store: exact and fuzzy dedupe, alt_sources, source dimension and upsert.  The commit
+    record holds the feed's last batch, so one that Spark replays changes nothing.
+    ``now=None``: each batch looks back from its newest ``ingested_at``."""
+    spark = raw_stream.sparkSession
+    store = ArticleStore(spark, store_path)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        ingest_into(store, batch, now, horizon_hours, threshold, feed=feed_id(spark, checkpoint), batch_id=batch_id)
+
+    w = raw_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
+    q = w.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
 def dedupe_within_watermark(raw_stream: DataFrame, horizon: str = "72 hours",
                             event_time: str = "ingested_at") -> DataFrame:
     """X2 with Spark's state store: drop rows whose content hash was already
