@@ -5,15 +5,15 @@ surviving ``j`` similar to it -- keeps the lexicographically first maximal
 independent set of the similarity graph.  Decided locally, round by round
 (Blelloch, Fineman, Shun, SPAA 2012):
 
-* a node is **kept** once all its earlier neighbours are removed (or it has
-  none);
-* a node is **removed** once some earlier neighbour is kept, and is credited to
-  its smallest kept earlier neighbour (the ``i`` that deletes it).
+* a node without an earlier live neighbour is **kept**;
+* its later neighbours are **removed**, each credited to its smallest kept earlier
+  neighbour (the ``i`` that deletes it).
 
-Each round is two joins and an aggregate over the edge list; the status table
-is checkpointed to the shared checkpoint folder every round so lineage stays
-short and a lost executor only recomputes one round.  Nodes without edges
-never enter.  It is not connected components: with a~b, b~c and a !~ c, b is
+Decided nodes leave with their edges: every round reads only the edges between nodes
+still undecided, so the edges read fall from round to round and sum up to little more
+than the first.  What is left is checkpointed to the shared checkpoint folder each
+round, so lineage stays short and a lost executor only recomputes one round.  Nodes
+without edges never enter.  It is not connected components: with a~b, b~c and a !~ c, b is
 merged into a and c survives.
 """
 
@@ -24,46 +24,39 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-UNDECIDED, KEPT, REMOVED = 0, 1, 2
 
-
-def resolve(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def resolve(edges: DataFrame, max_rounds: int = 10_000, read: list[int] | None = None) -> DataFrame:
     """``edges(lo, hi)`` with ``lo < hi`` -> ``(id, kept, merged_into)`` for
     every node that has an edge (``merged_into`` NULL for kept nodes).
 
     Raises if the graph needs more than ``max_rounds`` rounds (long chains
-    need O(length) rounds); never returns a partial result.
+    need O(length) rounds); never returns a partial result.  ``read``, where given, takes
+    the number of edges that each round reads.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select("lo", "hi").distinct().checkpoint()
-    nodes = e.select(F.col("lo").alias("id")).unionByName(e.select(F.col("hi").alias("id"))).distinct()
-    has_earlier = e.select(F.col("hi").alias("id")).distinct().withColumn("_he", F.lit(True))
-    status = (nodes.join(has_earlier, "id", "left")
-              .select("id", F.when(F.col("_he").isNull(), F.lit(KEPT)).otherwise(F.lit(UNDECIDED)).alias("st"))
-              .checkpoint())
+    ensure_checkpoint_dir(edges.sparkSession)
+    live = e = edges.select("lo", "hi").distinct().checkpoint()
+    removed = e.select("hi").limit(0)
     for _ in range(max_rounds):
-        if status.where(F.col("st") == UNDECIDED).isEmpty():
+        left = live.count()
+        if not left:
             break
-        lo_st = status.select(F.col("id").alias("lo"), F.col("st").alias("lo_st"))
-        verdict = (e.join(lo_st, "lo")
-                   .groupBy(F.col("hi").alias("id"))
-                   .agg(F.max((F.col("lo_st") == KEPT).cast("int")).alias("_any_kept"),
-                        F.min((F.col("lo_st") == REMOVED).cast("int")).alias("_all_removed")))
-        status = (status.join(verdict, "id", "left")
-                  .select("id", F.when(F.col("st") != UNDECIDED, F.col("st"))
-                          .when(F.col("_any_kept") == 1, F.lit(REMOVED))
-                          .when(F.col("_all_removed") == 1, F.lit(KEPT))
-                          .otherwise(F.lit(UNDECIDED)).alias("st"))
-                  .checkpoint())
+        if read is not None:
+            read.append(left)
+        roots = live.select("lo").distinct().join(live.select(F.col("hi").alias("lo")), "lo", "left_anti")
+        gone = live.join(roots, "lo", "left_semi").select("hi").distinct().checkpoint()
+        # a root's neighbours are all gone, so its edges go with theirs
+        live = (live.join(gone, "hi", "left_anti").join(gone.select(F.col("hi").alias("lo")), "lo", "left_anti")
+                .select("lo", "hi").checkpoint())
+        removed = removed.unionByName(gone)
     else:
-        if not status.where(F.col("st") == UNDECIDED).isEmpty():
+        if not live.isEmpty():
             raise RuntimeError(f"greedy merge did not converge in {max_rounds} rounds")
-    kept = status.where(F.col("st") == KEPT).select(F.col("id").alias("lo"))
-    credit = (e.join(kept, "lo").groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("merged_into")))
-    return (status.join(credit, "id", "left")
-            .select("id", (F.col("st") == KEPT).alias("kept"),
-                    F.when(F.col("st") == REMOVED, F.col("merged_into")).alias("merged_into")))
+    # Kept: every node that no round removed.
+    removed = removed.checkpoint()
+    credit = (e.join(removed.select(F.col("hi").alias("lo")), "lo", "left_anti")
+              .join(removed, "hi", "left_semi").groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("merged_into")))
+    nodes = e.select(F.col("lo").alias("id")).unionByName(e.select(F.col("hi").alias("id"))).distinct()
+    return nodes.join(credit, "id", "left").select("id", F.col("merged_into").isNull().alias("kept"), "merged_into")
 
 
 def resolve_with_copies(pairs: DataFrame, groups: DataFrame, max_rounds: int = 10_000) -> DataFrame:

@@ -19,8 +19,9 @@ from ..sources.versions import ArticleStore
 from .dedupe import exact_deduplicate, with_content_hash
 from .feed import recent
 from .fuzzy import fuzzy_deduplicate, source_updates, store_matches
+from .simjoin import document_vectors
 from .store import enrich, get_or_create_sources, insertions, upsert, write_back_scores
-from .tfidf import corpus_stats, term_counts, weights
+from .tfidf import corpus_stats, term_counts, vocabulary
 
 
 def ingest_batch(raw: DataFrame, articles: DataFrame, sources: DataFrame, now,
@@ -104,7 +105,7 @@ def ingest_into(store: ArticleStore, raw: DataFrame, now=None, horizon_hours: fl
     stats = known.stats.unionByName(corpus_stats(counts)).groupBy("term") \
         .agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
     documents = known.documents + texts.select(F.count(F.lit(1))).scalar()
-    vectors = weights(known.counts.unionByName(counts), stats, documents, cap, with_counts=True).checkpoint()
+    vectors = document_vectors(known.counts.unionByName(counts), vocabulary(stats, cap), documents)
     matches = store_matches(vectors, threshold).checkpoint()
     survivors = batch.join(matches.select("seq"), "seq", "left_anti")
     sources = get_or_create_sources(survivors, sources).checkpoint()
