@@ -44,7 +44,7 @@ class FirstSeen(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         before = state = tuple(self.kept.get()) if self.kept.exists() else None
         first = []
-        for seq, ms in zip(batch["seq"].tolist(), batch["_ms"].tolist()):
+        for seq, ms in zip(batch["seq"].tolist(), batch["event_ms"].tolist()):
             ms = None if pd.isna(ms) else int(ms)
             if state is None:
                 keep, state = True, (seq, ms)
@@ -57,7 +57,7 @@ class FirstSeen(StatefulProcessor):
             self.kept.update(state)
             if state[1] is not None and (before is None or before[1] != state[1]):
                 self.handle.registerTimer(state[1] + self.horizon)
-        out = batch[first].drop(columns="_ms")
+        out = batch[first].drop(columns="event_ms")
         if len(out):
             yield out
 
@@ -81,6 +81,6 @@ def first_seen(raw_stream: DataFrame, horizon_hours: float = 72, delay: str = "2
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     hashed = raw_stream.withColumn("content_hash", content_hash("content"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in hashed.schema.fields])
-    timed = hashed.withColumn("_ms", F.unix_millis(event_time)).withWatermark(event_time, delay)
+    timed = hashed.withColumn("event_ms", F.unix_millis(event_time)).withWatermark(event_time, delay)
     return timed.groupBy("content_hash").transformWithStateInPandas(
         FirstSeen(int(horizon_hours * 3_600_000)), schema, "append", "eventTime")
