@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every run of ours relies on.  UTC keeps calendar-day grouping and
 # timestamp text identical to the DuckDB oracle; AQE turns small join sides into
@@ -66,6 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer files than there are cores: a
+    file of one row group is read by a single task, which would do all the work behind
+    the scan too.  A table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())  # counted in the JVM: the names stay there  # noqa: SLF001
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     import uuid
