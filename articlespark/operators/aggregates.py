@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_words
-from .quantiles import exact_quantiles
+from .boxplot import box_statistics
 
 POS, NEG = 0.1, -0.1
 
@@ -158,19 +158,7 @@ def boxplot_stats(df: DataFrame, group: str = "source", value: str = "sentiment_
     """Box-plot statistics per group (seaborn/matplotlib rule): quartiles
     by linear interpolation, fences at 1.5 IQR, whiskers at the most extreme
     values inside the fences, count of points outside."""
-    q = exact_quantiles(df, group, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
-         .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
-         .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
-    v = F.col(value)
-    inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    tails = (df.where(v.isNotNull()).select(group, value)
-             .join(q.select(group, "lower_fence", "upper_fence"), group)
-             .groupBy(group)
-             .agg(F.min(F.when(inside, v)).alias("whisker_low"),
-                  F.max(F.when(inside, v)).alias("whisker_high"),
-                  F.count_if(~inside).alias("n_outliers")))
-    return q.join(tails, group)
+    return box_statistics(df, group, value)
 
 
 def keyword_frequency(keywords: DataFrame, article_keywords: DataFrame, top: int | None = 50) -> DataFrame:

@@ -154,14 +154,15 @@ def q_category_share(spark, sf_dir):
     return agg.category_share(articles_view(spark, sf_dir))
 
 
-@register("category_source_pivot", "A7", """
-SELECT * FROM (
-  PIVOT (SELECT lang AS category, source,
-                ((doc_id * 37) % 201 - 100) / 100.0::DOUBLE AS sentiment_score
-         FROM documents WHERE lang IS NOT NULL)
-  ON source USING round(avg(sentiment_score), 6) GROUP BY category)""")
+PIVOT_SOURCES = [f"src{k}" for k in range(20)]
+
+
+@register("category_source_pivot", "A7", f"""
+SELECT lang AS category, {', '.join(f"round(avg(score) FILTER (source = '{s}'), 6) AS {s}" for s in PIVOT_SOURCES)}
+FROM (SELECT lang, source, ((doc_id * 37) % 201 - 100) / 100.0::DOUBLE AS score FROM documents WHERE lang IS NOT NULL)
+GROUP BY lang""")
 def q_category_source_pivot(spark, sf_dir):
-    return agg.category_source_pivot(articles_view(spark, sf_dir), digits=6)
+    return agg.category_source_pivot(articles_view(spark, sf_dir), PIVOT_SOURCES, digits=6)
 
 
 @register("boxplot_stats", "A8", f"""

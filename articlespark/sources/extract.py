@@ -1,7 +1,7 @@
 """HTML page table -> article rows.
 
 Pages arrive as a ``pages(page_id, url, html)`` DataFrame; extraction is a
-flat-map over them with ``mapInPandas`` (the only per-row Python step of
+flat-map over them with ``mapInArrow`` (the only per-row Python step of
 ingest, Arrow-batched and partitioned by Spark).  Site rules are *data*
 (``ExtractRule``), so adding a site adds a rule, not code.  The Python part
 only parses and selects; cleaning (F1), url defaults and absolutising (F10),
@@ -235,16 +235,18 @@ def extract_articles(pages: DataFrame, rules: Sequence[ExtractRule] = SITE_RULES
     ship_package(pages.sparkSession)  # workers import parse_page from this package
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for pid, page_url, html in zip(pdf[id_col], pdf[url_col], pdf[html_col]):
-                for pos, ri, title, url, content in parse_page(html, rules):
-                    out.append((int(pid), pos, ri, title, url, content, page_url))
-            yield pd.DataFrame(out, columns=[f.name for f in EXTRACT_SCHEMA.fields])
-
-    raw = pages.select(id_col, url_col, html_col).mapInPandas(run, EXTRACT_SCHEMA)
+        import pyarrow as pa
+
+        names = [f.name for f in EXTRACT_SCHEMA.fields]
+        types = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4]
+        for batch in batches:
+            out = [(pid, pos, ri, title, url, content, page_url)
+                   for pid, page_url, html in zip(*(c.to_pylist() for c in batch.columns))
+                   for pos, ri, title, url, content in parse_page(html, rules)]
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    raw = pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, EXTRACT_SCHEMA)
     spark = pages.sparkSession
     rule_df = spark.createDataFrame(
         [(i, r["source"], r["base_url"], r["category"], r["absolutize"]) for i, r in
