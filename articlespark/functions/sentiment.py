@@ -63,6 +63,18 @@ def lexicon_frame(spark: SparkSession, entries=None) -> DataFrame:
     return spark.createDataFrame(list(entries or DEFAULT_LEXICON), LEXICON_SCHEMA)
 
 
+def lexicon_from_labels(docs: DataFrame, labels: DataFrame, min_docs: int = 5, id_col: str = "id",
+                        text_col: str = "content", label: str = "label") -> DataFrame:
+    """A lexicon learned from scored documents: a term's polarity is the mean label (-1 to 1)
+    of the documents that hold it, less the mean of all, for terms of at least
+    ``min_docs`` of them.  Counted map-side: a frequent term costs a row a task."""
+    known = docs.join(labels.select(id_col, label).where(F.col(label).isNotNull()), id_col)
+    base = known.select(F.avg(label)).scalar()
+    terms = known.select(label, F.explode(F.array_distinct(tokens(text_col))).alias("term"))
+    means = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("mean"))
+    return means.where(F.col("n") >= min_docs).select("term", (F.col("mean") - base).alias("polarity"), "n")
+
+
 def score_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "content",
                   id_col: str = "id", out_col: str = "sentiment_score",
                   lang_col: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.text import doc_text
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import ARTICLES_SCHEMA
 from ..sources.versions import ArticleStore
-from .dedupe import exact_deduplicate, with_content_hash
+from .dedupe import analysis_clean, exact_deduplicate, with_content_hash
 from .feed import recent
 from .fuzzy import fuzzy_deduplicate, source_updates, store_matches
 from .simjoin import document_vectors
@@ -124,3 +124,10 @@ def rescore(articles: DataFrame, lexicon: DataFrame, text_col: str = "content")
     """Score every article (G1) and write the scores back by id."""
     scores = score_lexicon(articles.select("id", text_col), lexicon, text_col, "id", "score")
     return write_back_scores(articles, scores.select("id", "score"))
+
+
+def rescore_survivors(articles: DataFrame, lexicon: DataFrame, text_col: str = "content") -> DataFrame:
+    """D7, phase 2: only the rows that the analysis cleaning (D6) keeps are scored and
+    written back.  Over articles bucketed by id the write-back moves the scores alone."""
+    scores = score_lexicon(analysis_clean(articles).select("id", text_col), lexicon, text_col, "id", "score")
+    return write_back_scores(articles, scores.select("id", "score"))

@@ -79,7 +79,7 @@ ev AS (
 
 def load_all() -> dict[str, Query]:
     """Import the query modules (they register themselves) and return them."""
-    from . import analytics, cleaning, ingest, textual, similarity, streams  # noqa: F401
+    from . import analytics, cleaning, exports, ingest, similarity, stores, streams, textual  # noqa: F401
 
     return REGISTRY
 

@@ -89,6 +89,31 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).parquet(path)
 
 
+def read_raw_batch(spark: SparkSession, path: str) -> DataFrame:
+    """A raw batch (JSON Lines) with the declared schema: fields that a record lacks are
+    NULL, others are ignored; a batch that is not there is empty."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    if not jp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jp):  # noqa: SLF001
+        return spark.createDataFrame([], RAW_SCHEMA)
+    return spark.read.schema(RAW_SCHEMA).json(path)
+
+
+def insert_defaults(df: DataFrame) -> DataFrame:
+    """what an inserted article has where the record has nothing: content_hash and
+    alt_sources '', score 0.0, url NULL."""
+    held = set(df.columns)
+    out = df if "url" in held else df.withColumn("url", F.lit(None).cast("string"))
+    for name, default in (("content_hash", F.lit("")), ("alt_sources", F.lit("")), ("sentiment_score", F.lit(0.0))):
+        out = out.withColumn(name, F.coalesce(F.col(name), default) if name in held else default)
+    return out
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+    """A table bucketed and sorted by ``key``: joins and aggregates by it need no exchange of it."""
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def articles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched articles (``id, title, content, source, date, category,
     sentiment_score``) derived from ``documents``."""

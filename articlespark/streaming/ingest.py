@@ -195,12 +195,45 @@ def snapshot_digest(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def changed_rows(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """X4 change feed: rows of ``new`` that are added or changed vs ``old``."""
+    """X4 change feed: rows of ``new`` that are added or changed vs ``old``
+    (``change_feed`` reports deleted keys too)."""
     cols = [c for c in new.columns]
     o = old.select(*key, row_hash(cols).alias("_h"))
     return new.withColumn("_h", row_hash(cols)).join(o, [*key, "_h"], "left_anti").drop("_h")
 
 
+def write_snapshot(df: DataFrame, path: str, part: Column) -> None:
+    """A snapshot in folders by ``part`` (a range or bucket of its key), with the rows' count and
+    digest of each part beside it."""
+    cols = df.columns
+    df.withColumn("part", part).hint("rebalance", "part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/rows")
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    digests = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash(cols)).cast("string").alias("digest"))
+    digests.write.mode("overwrite").parquet(f"{path}/digests")
+
+
+def changed_parts(spark: SparkSession, old: str, new: str) -> list:
+    """The parts whose digests differ, or that one snapshot has alone."""
+    a, b = (spark.read.parquet(f"{p}/digests").select("part", F.struct("n_rows", "digest").alias(n)) for p, n in ((old, "a"), (new, "b")))
+    differ = a.join(b, "part", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    return sorted(r[0] for r in differ.select("part").collect())
+
+
+def change_feed(spark: SparkSession, old: str, new: str, key: Sequence[str]) -> DataFrame:
+    """``(change, <columns>)`` between two written snapshots, change = insert, update or
+    delete (the old row).  Only parts with another digest are read.  Keys are unique."""
+    parts = changed_parts(spark, old, new)
+    a, b = (spark.read.parquet(f"{p}/rows").where(F.col("part").isin(parts)).drop("part") for p in (old, new))
+    cols = [c for c in b.columns if c not in key]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*key, F.struct(*cols).alias(name), row_hash([*key, *cols]).alias(f"{name}_hash"))
+
+    both = side(a, "_old").join(side(b, "_new"), list(key), "full").where(~F.col("_old_hash").eqNullSafe(F.col("_new_hash")))
+    change = F.when(F.col("_old_hash").isNull(), "insert").when(F.col("_new_hash").isNull(), "delete").otherwise("update")
+    return both.select(change.alias("change"), *key, F.coalesce("_new", "_old").alias("_row")).select("change", *key, "_row.*")
+
+
 def run_dir(spark: SparkSession, name: str) -> tuple[str, str]:
     """Fresh (output, checkpoint) folders under the shared checkpoint folder."""
     base = scratch_path(spark, name)
