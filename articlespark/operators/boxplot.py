@@ -23,12 +23,20 @@ NAMES = ("q1", "median", "q3")
 def value_ranges(df: DataFrame, group: str, value: str, accuracy: int) -> DataFrame:
     """``(group, n, ranges)``: for each quartile, the lower and the upper fence a range ``(r,
     lo, hi)`` that holds it."""
-    eps = 2.0 / accuracy
-    probs = [p for q in QUARTILES for p in (q - eps, q + eps)]
     v = F.col(value).cast("double")
-    s = df.where(v.isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(v, probs, accuracy).alias("p"))
-    lo = [F.col("p")[2 * k] for k in range(3)]
-    hi = [F.col("p")[2 * k + 1] for k in range(3)]
+    widths = sorted({2.0 / accuracy, 0.002, 0.02, 0.2} - {e for e in (0.002, 0.02) if e < 2.0 / accuracy})
+    probs = [min(1.0, max(0.0, p)) for e in widths for q in QUARTILES for p in (q - e, q + e)]
+    s = df.where(v.isNotNull()).groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(v, probs, accuracy).alias("p"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+    def end(k: int, upper: int) -> Column:
+        """Of the k-th quartile's bounds the narrowest that is two ranks away at least, as quartiles lie between two values."""
+        out = F.col("most" if upper else "least")
+        for level in reversed(range(len(widths))):
+            out = F.when(F.col("n") * widths[level] >= 2, F.col("p")[(level * 3 + k) * 2 + upper]).otherwise(out)
+        return out
+
+    lo, hi = [end(k, 0) for k in range(3)], [end(k, 1) for k in range(3)]
     slack = (F.abs(lo[0]) + F.abs(hi[2])) * 1e-9 + 1e-300  # rounding of the fences
     fences = [(2.5 * lo[0] - 1.5 * hi[2] - slack, 2.5 * hi[0] - 1.5 * lo[2] + slack),
               (2.5 * lo[2] - 1.5 * hi[0] - slack, 2.5 * hi[2] - 1.5 * lo[0] + slack)]
