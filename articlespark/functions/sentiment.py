@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .text import tokens
 
 POLICIES = {
@@ -87,7 +88,7 @@ def score_lexicon(df: DataFrame, lexicon: DataFrame, text_col: str = "content",
     cols = [id_col, F.explode(tokens(text_col)).alias("term")]
     if lang_col:
         cols.insert(1, F.col(lang_col).alias("lang"))
-    toks = df.select(*cols)
+    toks = spread(df).select(*cols)
     keys = ["term", "lang"] if (lang_col and "lang" in lexicon.columns) else ["term"]
     lex = lexicon.select(*keys, "polarity")
     per_doc = (toks.join(lex, keys)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..functions.text import fold_sources, tokens
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 from .dedupe import keep_first
 from .ids import dense_ids
 from ..sources.tables import (ARTICLE_KEYWORDS_SCHEMA, ARTICLES_SCHEMA, KEYWORDS_SCHEMA,
@@ -183,7 +183,7 @@ def register_keywords(articles: DataFrame, text_col: str = "title",
     Keyword ids are dense in keyword order (``dense_ids`` over the distinct
     terms).  Returns ``(keywords, article_keywords)``.
     """
-    pairs = articles.select(F.col("id").alias("article_id"),
+    pairs = spread(articles.select("id", text_col)).select(F.col("id").alias("article_id"),
                             F.explode(F.array_distinct(tokens(text_col))).alias("keyword"))
     stop = sorted(set(stopwords))
     if stop:  # top-level IN list -> hash-set lookup

@@ -10,6 +10,7 @@ from ..functions.sentiment import policy_label
 from ..functions.text import clean_text, content_hash, first_line
 from ..operators import dedupe, feed
 from ..operators.store import fold_alt_sources, purge, upsert, upsert_rejects, write_back_scores
+from ..session import spread
 from ..sources.tables import articles_view, events_view, raw_batch_view, read_table
 from .analytics import store_tables
 from .registry import (ARTICLES_CTE, EVENTS_CTE, FOLD_SQL, SOURCES_CTE, clean_sql, hash_sql, norm_sql,
@@ -136,7 +137,7 @@ def q_label_policies(spark, sf_dir):
 
 def _dedupe_input(spark, sf_dir, title):
     raw = raw_batch_view(spark, sf_dir, title=title).drop("url")  # documents carry no url
-    return dedupe.with_content_hash(raw)
+    return dedupe.with_content_hash(spread(raw))
 
 
 _D1_SQL = """
@@ -176,7 +177,7 @@ def _split_store_batch(spark, sf_dir):
     after seven tenths of the ids, so some of the batch's are taken."""
     t = store_tables(spark, sf_dir)
     period = articles_view(spark, sf_dir).select(F.expr("max(id) * 7 div 10 + 1")).scalar()
-    arts = (articles_view(spark, sf_dir)
+    arts = (spread(articles_view(spark, sf_dir))
             .join(t["sources"].select(F.col("name").alias("source"), F.col("id").alias("source_id")), "source")
             .withColumn("content_hash", content_hash("content"))
             .withColumn("url", F.when(F.col("id") % 5 != 0, F.concat(
@@ -185,7 +186,7 @@ def _split_store_batch(spark, sf_dir):
     secs = F.unix_seconds("date")
     mid2 = arts.select(F.min(secs) + F.max(secs)).scalar()
     store = dedupe.keep_first(arts.where(secs * 2 < mid2).withColumn("alt_sources", F.lit("")),
-                              ["content_hash"], "id")
+                              ["content_hash"], "id").checkpoint()  # as a stored table: the upsert reads it several times
     batch = (arts.where(secs * 2 >= mid2).withColumn("seq", F.col("id"))
              .withColumn("alt_sources", F.col("source")))
     return store.drop("source"), batch.drop("source")
@@ -272,7 +273,7 @@ l AS (SELECT content_hash, list_reduce(list_prepend('', list(source ORDER BY fir
 c AS (SELECT content_hash, count(*) AS copies FROM h GROUP BY content_hash)
 SELECT c.content_hash, c.copies, l.alt_sources FROM c JOIN l ON c.content_hash = l.content_hash""")
 def q_alt_sources_fold(spark, sf_dir):
-    h = articles_view(spark, sf_dir).withColumn("content_hash", content_hash("content"))
+    h = spread(articles_view(spark, sf_dir).select("id", "source", "content")).withColumn("content_hash", content_hash("content"))
     return fold_alt_sources(h, "content_hash", "source", "id")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import absolutize_url, clean_text
-from ..session import ship_package
+from ..session import ship_package, spread
 
 
 @dataclass(frozen=True)
@@ -246,7 +246,7 @@ def extract_articles(pages: DataFrame, rules: Sequence[ExtractRule] = SITE_RULES
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    raw = pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, EXTRACT_SCHEMA)
+    raw = spread(pages.select(F.col(id_col).cast("long"), url_col, html_col)).mapInArrow(run, EXTRACT_SCHEMA)
     spark = pages.sparkSession
     rule_df = spark.createDataFrame(
         [(i, r["source"], r["base_url"], r["category"], r["absolutize"]) for i, r in
