@@ -10,11 +10,15 @@ of most of it, and of all its lines that have a ratio of their own; around the f
 containers of links without a line of the cluster are left out.  All blocks of the
 region are the text, but for those in page furniture (navigation, forms, asides,
 adverts, comments, ...), by element or by the words of class, id and role.  Inside an
-article, a word that may be its topic, or the id of a heading, counts only for blocks
-of links or without a passing ratio.
+article, a word that may be its topic, or an id, counts only for blocks
+of links or without a passing ratio.  A form, or a block that is furniture by name, may
+still wrap the page: those around the article that has the fewest of them around it (without
+an article, around the first heading of its kind, or those that hold most of the text) are kept, and with nothing
+else left all are.
 
 Defined results: a null or empty page has an empty text, so has one without text
-outside furniture; markup that is cut off or broken yields the text parsed so far;
+outside furniture; markup that is cut off yields the text before, and behind a piece
+that can't be parsed parsing goes on;
 a null url or page_id is kept as it is; repeated rows are extracted one by one; other
 columns are ignored.
 """
@@ -40,7 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s
 samp small span strike strong sub sup time tt u var""".split())
 REGIONS = frozenset("html body main article section div td center".split())
-FURNITURE = frozenset("""nav footer aside form button select textarea script style noscript template iframe svg canvas
+FURNITURE = frozenset("""nav footer aside button select textarea script style noscript template iframe svg canvas
 object audio video head title dialog menu datalist optgroup option math""".split())
 #: Words of class, id and role that mark furniture.
 FURNITURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored
@@ -53,6 +57,9 @@ LAYOUT_WORDS = frozenset("with has no without".split())
 #: A wrapper of these parts that holds most of the page's text is not one of them.
 WRAPPER_WORDS = frozenset("layout wrapper wrap container page".split())
 PART_WORDS = frozenset("footer header masthead menu menus nav navbar navigation sidebar sidebars toolbar".split())
+#: What readers say.
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus".split())
+COMMENT_PAIRS = frozenset((a, b) for a in ("reader", "readers", "user", "users") for b in ("discussion", "discussions", "feedback", "opinions", "reactions", "responses"))
 #: Words that may name what an article is about; inside one they need evidence.
 TOPIC_WORDS = frozenset("""advertisement advertising alert header login menu menus navigation promotion
 recommendations related replies search share sharing social sponsors subscription widgets""".split())
@@ -61,11 +68,18 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Mark:
-    """A block that is furniture by name, if its content bears that out."""
-    __slots__ = ("up", "wrapper", "heading", "titled")
+    """A block that is furniture by name, if its content bears that out.  ``kind``: wrapper,
+    topic, named, comment or form; ``depth`` and ``comments`` count the last three, and
+    those of comments, from it outwards."""
+    __slots__ = ("up", "kind", "titled", "depth", "comments")
 
-    def __init__(self, up: int, wrapper: bool, heading: bool):
-        self.up, self.wrapper, self.heading, self.titled = up, wrapper, heading, heading
+    def __init__(self, up: int, kind: str, heading: bool, around: "Mark | None"):
+        self.up, self.kind, self.titled = up, kind, heading
+        self.depth = (around.depth if around else 0) + (kind in SOFT)
+        self.comments = (around.comments if around else 0) + (kind == "comment")
+
+
+SOFT = ("named", "comment", "form")
 
 
 class Line:
@@ -87,6 +101,7 @@ class LineParser(HTMLParser):
         self.stack: list[tuple[str, int, int, int]] = []  # name, region, depth of furniture, mark
         self.marks: list[Mark] = []
         self.mark = -1  # the innermost open one
+        self.anchors: list[tuple[bool, int]] = []  # articles (or else titles) and the marks they are in
         self.open: dict[str, int] = {}
         self.region = self.furniture = self.tags = self.in_link = self.links = 0
         self.buffer: list[str] = []
@@ -102,7 +117,7 @@ class LineParser(HTMLParser):
 
     @staticmethod
     def is_furniture(attrs: list[tuple[str, str | None]], tag: str = "", in_article: bool = False) -> str:
-        """"yes"; "wrapper" or "topic" if it depends on the content; "" if not."""
+        """"hidden"; "named", "comment", "wrapper" or "topic" if it depends on the content; "" if not."""
         found = ""
         for name, value in attrs:
             if name in ("class", "id", "role"):
@@ -111,17 +126,19 @@ class LineParser(HTMLParser):
                     parts = _SPLIT.split(token)
                     every.update(parts)
                     words.update(w for k, w in enumerate(parts) if w in FURNITURE_WORDS and not (k and parts[k - 1] in LAYOUT_WORDS))
+                    if not COMMENT_PAIRS.isdisjoint(zip(parts, parts[1:])):
+                        words.add("comments")
                 if not words:
                     continue
-                if in_article and name != "role" and (words <= TOPIC_WORDS or name == "id" and tag in HEADINGS):
+                if in_article and (name == "id" and (tag in HEADINGS or not words & COMMENT_WORDS) or name == "class" and words <= TOPIC_WORDS):
                     found = found or "topic"
                 elif words <= PART_WORDS and every & WRAPPER_WORDS:
-                    found = "wrapper"
+                    found = found if found in ("named", "comment") else "wrapper"
                 else:
-                    return "yes"
+                    found = "comment" if words & COMMENT_WORDS else "named"
             elif name == "hidden" or name == "aria-hidden" and value == "true" \
                     or name == "style" and re.search(r"display\s*:\s*none", value or ""):
-                return "yes"
+                return "hidden"
         return found
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -137,7 +154,7 @@ class LineParser(HTMLParser):
         if tag in INLINE:
             # An inline topic stays: its paragraph would be cut in pieces to judge it.
             heading = next((h for h in HEADINGS if self.open.get(h)), tag)
-            if tag != "a" and self.is_furniture(attrs, heading, self.in_article()) == "yes":
+            if tag != "a" and self.is_furniture(attrs, heading, self.in_article()) in ("hidden", "named", "comment"):
                 self.push(tag, True)
             return
         self.flush()
@@ -145,12 +162,15 @@ class LineParser(HTMLParser):
             self.pop("p")
         in_article = self.in_article()
         named = "" if tag in ("html", "body", "article", "main") else self.is_furniture(attrs, tag, in_article)
-        self.push(tag, tag in FURNITURE or tag == "header" and not in_article or named == "yes")
-        if named in ("wrapper", "topic"):
-            self.marks.append(Mark(self.mark, named == "wrapper", tag in HEADINGS))
+        self.push(tag, tag in FURNITURE or tag == "header" and not in_article or named == "hidden")
+        named = "form" if tag == "form" and named not in ("comment", "named") else named
+        if named not in ("", "hidden"):
+            self.marks.append(Mark(self.mark, named, tag in HEADINGS, self.marks[self.mark] if self.mark >= 0 else None))
             self.mark = len(self.marks) - 1
         if tag == "h1" and self.mark >= 0:
             self.marks[self.mark].titled = True
+        if tag in ("article", "main", "h1") and not self.furniture:
+            self.anchors.append((tag == "h1", self.mark))
         if tag in REGIONS:
             self.parent.append(self.region)
             self.names.append(tag)
@@ -201,12 +221,23 @@ class LineParser(HTMLParser):
 
 
 def parse_lines(html: str) -> LineParser:
-    parser = LineParser()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError, RecursionError):
-        pass  # broken markup: what was parsed so far stands
+    parser, at = LineParser(), 0
+    while True:
+        try:
+            parser.feed(html[at:])
+            parser.close()
+            break
+        except (AssertionError, ValueError, RecursionError):
+            # Broken markup: on behind the piece that the parser stopped at.
+            line, column = parser.getpos()
+            start = at
+            for _ in range(line - 1):
+                start = html.index("\n", start) + 1
+            at = html.find("<", start + column + 1)
+            parser.rawdata, parser.lineno, parser.offset = "", 1, 0
+            parser.clear_cdata_mode()
+            if at < 0:
+                break
     parser.flush()
     return parser
 
@@ -227,8 +258,9 @@ def content_blocks(html: str | None, sigma: float = SIGMA) -> list[str]:
         return []
     page = parse_lines(html)
     lines = page.lines
-    if not any(not x.furniture for x in lines):
+    if all(x.furniture for x in lines):
         return []
+    judge_names(page)
     judge_marks(page, sigma)
     if all(x.furniture for x in lines):
         return []
@@ -246,6 +278,39 @@ def ratios(lines: list[Line], sigma: float) -> tuple[np.ndarray, np.ndarray, flo
     return ratio, smoothed, smoothed.std()
 
 
+def judge_names(page: LineParser) -> None:
+    """Which forms and blocks named as furniture wrap the text; the others become furniture."""
+    marks, lines = page.marks, page.lines
+    if not any(m.kind in SOFT for m in marks):
+        return
+    kept = [False] * len(marks)
+    if page.anchors:
+        def around(anchor: tuple[bool, int]) -> tuple[bool, int, int]:
+            title, m = anchor
+            return (title, marks[m].comments, marks[m].depth) if m >= 0 else (title, 0, 0)
+
+        m = min(page.anchors, key=around)[1]
+        while m >= 0:
+            kept[m], m = True, marks[m].up
+    chars = [0] * len(marks)
+    for x in lines:
+        if x.mark >= 0 and not x.furniture:
+            chars[x.mark] += len(x.text)
+    for m in range(len(marks) - 1, -1, -1):
+        if marks[m].up >= 0:
+            chars[marks[m].up] += chars[m]
+    every = sum(len(x.text) for x in lines if not x.furniture)
+    articles = any(not title for title, _ in page.anchors)
+    gone = [False] * len(marks)
+    for m, mark in enumerate(marks):
+        most = not articles and mark.kind != "comment" and chars[m] >= REGION_SHARE * every
+        gone[m] = mark.kind in SOFT and not kept[m] and not most or mark.up >= 0 and gone[mark.up]
+    left = [x for x in lines if not x.furniture and not (x.mark >= 0 and gone[x.mark])]
+    if left:
+        for x in lines:
+            x.furniture = x.furniture or x.mark >= 0 and gone[x.mark]
+
+
 def judge_marks(page: LineParser, sigma: float) -> None:
     """Decides what is furniture by name only if its content bears that out: wrappers of
     page parts, unless most of the text is in them; and topics inside an article, if they
@@ -270,7 +335,7 @@ def judge_marks(page: LineParser, sigma: float) -> None:
         every = sum(len(x.text) for x in lines if not x.furniture)
         gone = [False] * len(marks)
         for m, mark in enumerate(marks):
-            if mark.wrapper == wrapper:
+            if mark.kind == ("wrapper" if wrapper else "topic"):
                 gone[m] = chars[m] < REGION_SHARE * every if wrapper else \
                     not titled[m] and (2 * links[m] >= chars[m] or best[m] < limit / 2)
             gone[m] = gone[m] or mark.up >= 0 and gone[mark.up]
