@@ -101,12 +101,15 @@ def ingest_into(store: ArticleStore, raw: DataFrame, now=None, horizon_hours: fl
     # The batch's own counts; each document's in one row, as the store keeps them.
     texts = batch.select((-F.col("seq") - 1).alias("id"), doc_text("title", "content").alias("text")).where("text IS NOT NULL")
     counts = term_counts(texts, "id", "text").checkpoint()
-    known = stored_corpus(store, state, now, horizon_hours)
-    stats = known.stats.unionByName(corpus_stats(counts)).groupBy("term") \
-        .agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
-    documents = known.documents + texts.select(F.count(F.lit(1))).scalar()
-    vectors = document_vectors(known.counts.unionByName(counts), vocabulary(stats, cap), documents)
-    matches = store_matches(vectors, threshold).checkpoint()
+    if state["terms"]:
+        known = stored_corpus(store, state, now, horizon_hours)
+        stats = known.stats.unionByName(corpus_stats(counts)).groupBy("term") \
+            .agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
+        documents = known.documents + texts.select(F.count(F.lit(1))).scalar()
+        vectors = document_vectors(known.counts.unionByName(counts), vocabulary(stats, cap), documents)
+        matches = store_matches(vectors, threshold).checkpoint()
+    else:  # nothing stored that a row could be like
+        matches = batch.select("seq", F.lit(0).cast("long").alias("store_id"), F.lit(0.0).alias("sim")).limit(0)
     survivors = batch.join(matches.select("seq"), "seq", "left_anti")
     sources = get_or_create_sources(survivors, sources).checkpoint()
     inserted = insertions(articles, _as_articles(survivors, sources)).checkpoint()
