@@ -15,3 +15,23 @@ def test_registry_contract():
     # The training-data queries are there where their subpackage is, and only there.
     optional = importlib.util.find_spec("articlespark.llm") is not None
     assert any(name.startswith("op1_") for name in q) == optional
+
+
+def test_queries_remain_where_the_optional_ones_cannot_be_imported(monkeypatch):
+    import builtins
+
+    import pytest
+
+    if importlib.util.find_spec("articlespark.llm") is None:
+        pytest.skip("no optional queries here")
+    plain = builtins.__import__
+
+    def fails(name, *args, **kwargs):
+        if name == "articlespark.llm.queries":
+            raise ImportError("broken")
+        return plain(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", fails)
+    with pytest.warns(UserWarning, match="broken"):
+        names = entry_mod.queries()
+    assert len(names) >= 40 and not any(n.startswith("op1_") for n in names)
