@@ -7,7 +7,9 @@ budget that remains is fitted on the histogram of exact document lengths: each
 length gives its proportional number of documents, rounded down, and bounded
 knapsack dynamic programming fits what rounding left over.  A source with texts of
 over ``KNAPSACK`` words that is still off its target is fitted without the
-proportions, if its sums are few enough.  Which documents of a length are taken
+proportions: over all its lengths at once, in units that keep the reachable sums within
+``FIT_BITS`` (one word, where they are few), then by exchanging single documents as long as that
+comes nearer.  Which documents of a length are taken
 follows from a seeded hash.
 
 Only histograms meet in one task: a source's rows are counted by length before
@@ -23,6 +25,7 @@ an empty table gives an empty mix.  ``docs`` must be a stable scan.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import pandas as pd
@@ -36,8 +39,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words that proportional rounding and the greedy passes leave to dynamic programming
 #: where the documents allow it; where those that remain are longer, all of it is fitted.
 KNAPSACK = 1 << 16
-#: Bits that a free fit of a source with texts over that may hold.
-FREE_FIT_BITS = 1 << 28
+#: Bits that the reachable sums of a free fit may hold; beyond it sizes count in larger units.
+FIT_BITS = 1 << 28
 BUCKET = 256
 
 
@@ -134,14 +137,51 @@ def fit_lengths(sizes: list[int], counts: list[int], target: float, max_repeats:
     take = [t + extra.get(s, 0) for s, t in zip(sizes, take)]
     off = abs(budget - sum(s * t for s, t in zip(sizes, take)))
     if off and max(sizes) > limit:
-        steps = sum(min(c, 2 * budget // s).bit_length() for s, c in zip(sizes, counts) if s)
-        if 2 * budget * steps <= FREE_FIT_BITS:
-            free = knapsack(sizes, counts, budget)
-            if abs(budget - sum(s * n for s, n in free.items())) < off:
-                take = [free.get(s, 0) for s in sizes]
+        free = exchanged(sizes, counts, free_fit(sizes, counts, budget), budget)
+        if abs(budget - sum(s * n for s, n in zip(sizes, free))) < off:
+            take = free
     return epochs, take
 
 
+def free_fit(sizes: list[int], counts: list[int], budget: int, bits: int = FIT_BITS) -> list[int]:
+    """Documents of each size whose sum comes near to ``budget``: nearest where the reachable sums fit
+    into ``bits``, else up to a unit for each document that is taken."""
+    steps = sum(min(c, 2 * budget // s).bit_length() for s, c in zip(sizes, counts) if s)
+    unit = max(1, -(-2 * budget * steps // bits))
+    rounded = [(s + unit // 2) // unit for s in sizes]
+    held: dict[int, int] = {}
+    for r, s, c in zip(rounded, sizes, counts):
+        held[r] = held.get(r, 0) + (c if s else 0)
+    wanted = knapsack(list(held), list(held.values()), (budget + unit // 2) // unit)
+    take = []
+    for r, s, c in zip(rounded, sizes, counts):
+        take.append(min(c, wanted.get(r, 0)) if s else 0)
+        wanted[r] = wanted.get(r, 0) - take[-1]
+    return take
+
+
+def exchanged(sizes: list[int], counts: list[int], take: list[int], budget: int) -> list[int]:
+    """Takes, leaves or exchanges one document at a time, always the one that brings the sum
+    nearest to ``budget``, until none does."""
+    take, off = list(take), budget - sum(s * t for s, t in zip(sizes, take))
+    while off:
+        # -1: nothing taken in, or nothing left out.
+        free = sorted([(0, -1)] + [(s, k) for k, s in enumerate(sizes) if s and take[k] < counts[k]])
+        best = (abs(off), -1, -1)
+        for out, k in [(0, -1)] + [(s, k) for k, s in enumerate(sizes) if take[k]]:
+            at = bisect_left(free, (off + out, -1))
+            for size, j in free[max(0, at - 1):at + 1]:
+                best = min(best, (abs(off + out - size), k, j))
+        if best[0] == abs(off):
+            break
+        _, k, j = best
+        for at, n in ((k, -1), (j, 1)):
+            if at >= 0:
+                take[at] += n
+                off -= n * sizes[at]
+    return take
+
+
 def _fit_source(max_repeats: int, limit: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", ignore_index=True)
