@@ -44,12 +44,10 @@ class ArticleStore:
 
     # -- commit log ------------------------------------------------------
     def _committed(self) -> list[int]:
-        jp = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")  # noqa: SLF001
-        fs = jp.getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
-        names = [s.getPath().getName() for s in fs.listStatus(jp)] if fs.exists(jp) else []
-        found = [n for n in names if n.startswith("version=")
-                 and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(jp, f"{n}/_SUCCESS"))]  # noqa: SLF001
-        return sorted(int(n.split("=")[1]) for n in found)
+        """Versions with a commit record: one file, which its write moves into place whole."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/version=*/part-*")  # noqa: SLF001
+        status = found.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(found)  # noqa: SLF001
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in status or [])
 
     def state(self) -> dict:
         """The newest commit record."""
