@@ -1,6 +1,6 @@
 """Registered streaming and export queries.
 
-Streams read the driver's parquet tables as a file source (the table's file
+Streams read the driver's parquet tables as a file source (a table of one file
 is picked out of its folder with ``pathGlobFilter``), run to completion with
 ``availableNow`` and write under the shared checkpoint folder; the query
 returns the written result read back, so it must equal the batch SQL.
@@ -31,7 +31,7 @@ SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, round(avg(score), 6) AS avg_score,
 FROM ev WHERE ts IS NOT NULL GROUP BY ts::DATE""")
 def q_stream_daily(spark, sf_dir):
     out, ckpt = st.run_dir(spark, "stream_daily")
-    events = st.file_stream(spark, sf_dir, st.EVENTS_SCHEMA, glob="events.parquet")
+    events = st.table_stream(spark, sf_dir, "events", st.EVENTS_SCHEMA)
     scored = events.select("ts", ((F.col("value") - 50) / 100.0).alias("score"))
     st.stream_daily_sentiment(scored, out, ckpt)
     res = st.latest_windows(spark, out)
@@ -51,7 +51,7 @@ SELECT doc_id AS seq, {hash_sql('text')} AS content_hash FROM documents
 QUALIFY row_number() OVER (PARTITION BY {hash_sql('text')} ORDER BY doc_id) = 1""")
 def q_stream_ingest(spark, sf_dir):
     store, ckpt = st.run_dir(spark, "stream_ingest")
-    docs = st.file_stream(spark, sf_dir, DOCS_SCHEMA, glob="documents.parquet")
+    docs = st.table_stream(spark, sf_dir, "documents", DOCS_SCHEMA)
     raw = docs.select(
         F.col("doc_id").alias("seq"), first_line("text").alias("title"), F.col("text").alias("content"),
         "source", F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("doc_id") * 3600).alias("ingested_at"))

@@ -64,6 +64,14 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType, glob:
     return r.load(directory)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
+    """X1 over a table of the driver: the files of its folder, or the one file that it is."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")  # noqa: SLF001
+    status = jp.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jp)  # noqa: SLF001
+    return (file_stream(spark, f"{sf_dir}/{name}.parquet", schema) if status.isDirectory()
+            else file_stream(spark, sf_dir, schema, glob=f"{name}.parquet"))
+
+
 def feed_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that Spark keeps in a checkpoint: the same after a restart, new
     where the checkpoint is new."""
