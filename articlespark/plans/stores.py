@@ -15,7 +15,7 @@ from ..operators.ingest import rescore_survivors
 from ..operators.store import get_or_create_sources
 from ..operators.tfidf import term_counts
 from ..session import ensure_checkpoint_dir, scratch_path
-from ..sources.tables import ARTICLES_SCHEMA, articles_view, raw_batch_view, read_table, write_bucketed
+from ..sources.tables import ARTICLES_SCHEMA, articles_view, bucket_count, raw_batch_view, read_table, write_bucketed
 from ..sources.versions import ArticleStore
 from ..streaming import ingest as st
 from .cleaning import NOW
@@ -101,8 +101,10 @@ FROM articles a LEFT JOIN clean c ON c.id = a.id LEFT JOIN scored s ON s.id = a.
 def q_rescore_survivors(spark, sf_dir):
     """Articles bucketed by id, scored from a lexicon table; rows that the cleaning drops keep their score."""
     name = f"articles_{uuid.uuid4().hex[:12]}"
-    buckets = max(4, spark.sparkContext.defaultParallelism)
-    articles = write_bucketed(articles_view(spark, sf_dir), name, "id", buckets, scratch_path(spark, name))
+    view = articles_view(spark, sf_dir)
+    # Dealt by bucket, so that a bucket is one file of one task.
+    buckets = bucket_count(view)
+    articles = write_bucketed(view.repartition(buckets, "id"), name, "id", buckets, scratch_path(spark, name))
     lexicon = _lexicon(spark, sf_dir).checkpoint()
     return rescore_survivors(articles, lexicon).select("id", r6("sentiment_score").alias("sentiment_score"))
 
