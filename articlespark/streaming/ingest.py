@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from ..functions.text import content_hash
 from ..operators.dedupe import keep_first
 from ..operators.ingest import ingest_into
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.versions import ArticleStore
 
 EVENTS_SCHEMA = T.StructType([
@@ -210,28 +210,44 @@ def changed_rows(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFram
     return new.withColumn("_h", row_hash(cols)).join(o, [*key, "_h"], "left_anti").drop("_h")
 
 
+#: Folders of a snapshot, whatever its size: a large one becomes several files.
+SNAPSHOT_FOLDERS = 64
+
+
 def write_snapshot(df: DataFrame, path: str, part: Column) -> None:
-    """A snapshot in folders by ``part`` (a range or bucket of its key), with the rows' count and
-    digest of each part beside it."""
+    """A snapshot by ``part`` (a range or bucket of its key), with the rows' count and digest of
+    each part beside it.  Parts share ``SNAPSHOT_FOLDERS`` folders, so that files do not grow in
+    number with the parts."""
     cols = df.columns
-    df.withColumn("part", part).hint("rebalance", "part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/rows")
+    dealt = df.withColumn("part", part).withColumn("part_folder", F.pmod(F.xxhash64("part"), F.lit(SNAPSHOT_FOLDERS)).cast("int"))
+    dealt.hint("rebalance", "part_folder").write.partitionBy("part_folder").mode("overwrite").parquet(f"{path}/rows")
     stored = df.sparkSession.read.parquet(f"{path}/rows")
-    digests = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash(cols)).cast("string").alias("digest"))
+    digests = stored.groupBy("part_folder", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash(cols)).cast("string").alias("digest"))
     digests.write.mode("overwrite").parquet(f"{path}/digests")
 
 
+def _differing(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """(folder, part) whose digests differ, or that one snapshot has alone."""
+    a, b = (spark.read.parquet(f"{p}/digests").select("part_folder", "part", F.struct("n_rows", "digest").alias(n)) for p, n in ((old, "a"), (new, "b")))
+    both = a.join(b, a["part_folder"].eqNullSafe(b["part_folder"]) & a["part"].eqNullSafe(b["part"]), "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(F.coalesce(a["part_folder"], b["part_folder"]).alias("part_folder"),
+                                                                 F.coalesce(a["part"], b["part"]).alias("part"))
+
+
 def changed_parts(spark: SparkSession, old: str, new: str) -> list:
     """The parts whose digests differ, or that one snapshot has alone."""
-    a, b = (spark.read.parquet(f"{p}/digests").select("part", F.struct("n_rows", "digest").alias(n)) for p, n in ((old, "a"), (new, "b")))
-    differ = a.join(b, "part", "full").where(~F.col("a").eqNullSafe(F.col("b")))
-    return sorted(r[0] for r in differ.select("part").collect())
+    return sorted(r[0] for r in _differing(spark, old, new).select("part").collect())
 
 
 def change_feed(spark: SparkSession, old: str, new: str, key: Sequence[str]) -> DataFrame:
     """``(change, <columns>)`` between two written snapshots, change = insert, update or
-    delete (the old row).  Only parts with another digest are read.  Keys are unique."""
-    parts = changed_parts(spark, old, new)
-    a, b = (spark.read.parquet(f"{p}/rows").where(F.col("part").isin(parts)).drop("part") for p in (old, new))
+    delete (the old row).  Only folders that hold parts with another digest are read, and only those
+    parts are compared.  Keys are unique."""
+    ensure_checkpoint_dir(spark)
+    parts = _differing(spark, old, new).checkpoint()
+    folders = sorted(r[0] for r in parts.select("part_folder").distinct().collect())
+    a, b = (spark.read.parquet(f"{p}/rows").where(F.col("part_folder").isin(folders)).drop("part_folder")
+            .join(parts.select("part"), "part", "left_semi").drop("part") for p in (old, new))
     cols = [c for c in b.columns if c not in key]
 
     def side(df: DataFrame, name: str) -> DataFrame:

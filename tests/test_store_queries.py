@@ -67,6 +67,20 @@ def test_change_feed_reads_changed_parts_only(spark, tmp_path):
     assert st.change_feed(spark, paths[0], paths[0], ["id"]).count() == 0
 
 
+def test_snapshots_of_many_parts_hold_few_folders(spark, tmp_path):
+    old = spark.range(0, 20_000, 1, 4).select("id", (F.col("id") % 7).cast("string").alias("v"))
+    new = old.where("id <> 40").withColumn("v", F.when(F.col("id") == 9_000, "changed").otherwise(F.col("v")))
+    for name, df in (("old", old), ("new", new)):
+        st.write_snapshot(df, str(tmp_path / name), F.floor(F.col("id") / 4))
+        assert len(list((tmp_path / name / "rows").glob("*=*"))) <= 64
+        assert len(list((tmp_path / name / "rows").rglob("*.parquet"))) <= 200
+    paths = str(tmp_path / "old"), str(tmp_path / "new")
+    assert st.changed_parts(spark, *paths) == [10, 2250]
+    feed = st.change_feed(spark, *paths, ["id"])
+    assert rows(feed, "change", "id", "v") == [("delete", 40, "5"), ("update", 9_000, "changed")]
+    assert feed._jdf.queryExecution().toString().count("PartitionFilters: [part_folder") >= 2
+
+
 def _near_texts(n=60):
     rnd = random.Random(12)
     vocab = [f"word{i}" for i in range(60)]
