@@ -70,3 +70,19 @@ def test_expired_state_is_cleared(spark, tmp_path):
     _run(spark, tmp_path, steps, delay="1 hour")
     state = spark.read.format("statestore").option("stateVarName", "kept").load(str(tmp_path / "ckpt"))
     assert state.count() == 2
+
+
+def test_hashes_share_calls_and_keep_their_own_state(spark, tmp_path, monkeypatch):
+    """Fewer calls than hashes; each hash has its own horizon; a seq that is null or beyond 2**53."""
+    from articlespark.streaming import firstseen
+
+    monkeypatch.setattr(firstseen, "BUCKETS", 3)
+    big, hour = 2 ** 60, timedelta(hours=1)
+    steps = [[(big + 2 * k + 1, "t", f"text {k}", START + k * hour) for k in range(40)] + [(None, "t", "no number", START)],
+             [(big + 1000 + k, "t", f"text {k}", START + 75 * hour) for k in range(40)],  # 36 hours to 75 later
+             [(big + 2000 + k, "t", f"text {k}", START + 160 * hour) for k in range(40)]]
+    out = _run(spark, tmp_path, steps, delay="100 hours")
+    want = [big + 2 * k + 1 for k in range(40)] + [big + 1000 + k for k in range(4)] + [big + 2000 + k for k in range(40)]
+    assert sorted(r.seq for r in out.collect() if r.seq is not None) == want and out.where("seq IS NULL").count() == 1
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(str(tmp_path / "ckpt"))
+    assert state.select("key").distinct().count() <= 3
