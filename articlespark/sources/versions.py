@@ -10,6 +10,10 @@ what a failed attempt left behind is in no record.
 * ``terms/version=N/day=D`` (id, date, terms) and ``term_days/version=N/day=D`` (term,
   df, corpus_tf; the null term's df is the number of documents): added by the commit
   that inserts the articles, never rewritten.
+* ``.../version=N/span=D``: where a commit writes more than ``day_folders`` days, its folders hold
+  spans of days that follow each other, about ``span_rows`` articles or one day each, and are named by their
+  first day; the record lists the spans of such versions.  A span is rewritten whole, so its days
+  share a version; readers filter by day where a purge or a date range cuts it.
 * ``sources/version=N``: the whole dimension (small).
 
 A record also keeps the last batch of each feed, so a batch that is replayed after its
@@ -18,6 +22,7 @@ commit changes nothing.  One writer at a time; rows without a date are in ``UNDA
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import json
 
@@ -38,9 +43,21 @@ def day_of(date: str | Column = "date") -> Column:
     return F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit(UNDATED))
 
 
+def cut_spans(rows_of_day: dict[str, int], span_rows: int) -> list[str]:
+    """The first days of spans of about ``span_rows`` rows; undated rows have their own."""
+    firsts, held = [], 0
+    for day in sorted(rows_of_day):
+        if not firsts or held >= span_rows or day == UNDATED:
+            firsts.append(day)
+            held = 0
+        held += rows_of_day[day]
+    return firsts
+
+
 class ArticleStore:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, day_folders: int = 64, span_rows: int = 20_000):
         self.spark, self.path = spark, path.rstrip("/")
+        self.day_folders, self.span_rows = day_folders, span_rows
 
     # -- commit log ------------------------------------------------------
     def _committed(self) -> list[int]:
@@ -53,7 +70,7 @@ class ArticleStore:
         """The newest commit record."""
         versions = self._committed()
         if not versions:
-            return {"version": 0, "feeds": {}, "articles": {}, "terms": [], "sources": None}
+            return {"version": 0, "feeds": {}, "articles": {}, "terms": [], "sources": None, "spans": {}}
         return json.loads(self.spark.read.text(f"{self.path}/commits/version={versions[-1]}").first()[0])
 
     def _record(self, state: dict) -> dict:
@@ -63,12 +80,33 @@ class ArticleStore:
         return state
 
     # -- reading -----------------------------------------------------------
-    def _read(self, table: str, folders: list[str], schema: T.StructType) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], schema)
+    def _read(self, table: str, folders: list[str], schema: T.StructType, known: T.StructType | None = None) -> DataFrame:
         base = f"{self.path}/{table}"
-        known = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
-        return self.spark.read.schema(known).option("basePath", base).parquet(*(f"{base}/{f}" for f in folders)).select(*schema.names)
+        known = T.StructType([*(known or schema).fields, T.StructField("version", T.LongType())])
+        return self.spark.read.schema(known).option("basePath", base).parquet(*(f"{base}/{f}" for f in folders))
+
+    @staticmethod
+    def _span(firsts: list[str], day: str) -> str:
+        return firsts[bisect.bisect_right(firsts, day) - 1]
+
+    def _read_days(self, table: str, held: list[tuple[int, list[str]]], schema: T.StructType, state: dict) -> DataFrame:
+        """The rows of the given days of each version; of spans, only those that hold such a day are opened."""
+        folders, spans, within = [], [], F.lit(False)
+        for v, days in held:
+            firsts = state.get("spans", {}).get(str(v))
+            if firsts is None:
+                folders += [f"version={v}/day={d}" for d in days]
+            elif days:
+                spans += [f"version={v}/span={x}" for x in sorted({self._span(firsts, d) for d in days})]
+                # What is not wanted of these spans lies before or behind: purges and date ranges cut so.
+                within = within | ((F.col("version") == v) & F.col("day").between(min(days), max(days)))
+        found = [self._read(table, folders, schema).select(*schema.names)] if folders else []
+        if spans:
+            known = T.StructType([*schema.fields, T.StructField("span", T.StringType())])
+            found.append(self._read(table, spans, schema, known).where(within).select(*schema.names))
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
     @staticmethod
     def _days(days, since, until) -> list[str]:
@@ -80,18 +118,23 @@ class ArticleStore:
 
     def articles(self, state: dict | None = None, since=None, until=None) -> DataFrame:
         """Articles and their ``day``; with bounds (dates), only the days within are opened."""
-        found = (state or self.state())["articles"]
-        return self._read("articles", [f"version={found[d]}/day={d}" for d in self._days(found, since, until)], DAY_ARTICLES)
+        state = state or self.state()
+        held = {}
+        for d in self._days(state["articles"], since, until):
+            held.setdefault(state["articles"][d], []).append(d)
+        return self._read_days("articles", sorted(held.items()), DAY_ARTICLES, state)
 
     def sources(self, state: dict | None = None) -> DataFrame:
         state = state or self.state()
-        return self._read("sources", [f"version={state['sources']}"] if state["sources"] is not None else [], SOURCES_SCHEMA)
+        if state["sources"] is None:
+            return self.spark.createDataFrame([], SOURCES_SCHEMA)
+        return self._read("sources", [f"version={state['sources']}"], SOURCES_SCHEMA).select(*SOURCES_SCHEMA.names)
 
     def _counts(self, table: str, schema: str, state: dict | None, since) -> DataFrame:
         state = state or self.state()
         schema = T._parse_datatype_string(schema)  # noqa: SLF001
-        folders = [f"version={v}/day={d}" for v, days in state["terms"] for d in self._days(set(days) & set(state["articles"]), since, None)]
-        return self._read(table, folders, schema)
+        stored = state["articles"].keys()
+        return self._read_days(table, [(v, self._days(stored & days, since, None)) for v, days in state["terms"]], schema, state)
 
     def terms(self, state: dict | None = None, since=None) -> DataFrame:
         """(id, date, terms, day) of every stored article that has a text."""
@@ -105,9 +148,22 @@ class ArticleStore:
     def is_done(self, feed: str, batch_id: int, state: dict | None = None) -> bool:
         return (state or self.state())["feeds"].get(feed, -1) >= batch_id
 
-    def _write(self, df: DataFrame, table: str, version: int) -> None:
-        """A table's rows by day into this version's folders; a large day becomes several files."""
-        df.hint("rebalance", "day").write.partitionBy("day").mode("overwrite").parquet(f"{self.path}/{table}/version={version}")
+    def _write(self, df: DataFrame, table: str, version: int, firsts: list[str] | None, days: list[str]) -> None:
+        """A table's rows into this version's folders, by day or by the spans that begin with
+        ``firsts``; a large one becomes several files."""
+        by = "day"
+        if firsts is not None:
+            by = "span"
+            spans = self.spark.createDataFrame([(d, self._span(firsts, d)) for d in days], "day string, span string")
+            df = df.join(F.broadcast(spans), "day")
+        df.hint("rebalance", by).write.partitionBy(by).mode("overwrite").parquet(f"{self.path}/{table}/version={version}")
+
+    def _span_mates(self, state: dict, days: set[str]) -> set[str]:
+        """The stored days that share a span with one of ``days``."""
+        spans, stored = state.get("spans", {}), state["articles"]
+        span = lambda d: (stored[d], self._span(spans[str(stored[d])], d))
+        held = {span(d) for d in days if d in stored and str(stored[d]) in spans}
+        return {d for d, v in stored.items() if str(v) in spans and span(d) in held} if held else set()
 
     def commit(self, state: dict, inserted: DataFrame, updates: DataFrame, sources: DataFrame,
                terms: DataFrame, feed: str | None = None, batch_id: int = 0) -> dict:
@@ -117,26 +173,34 @@ class ArticleStore:
         changed rows; ``sources``: the dimension after the batch; ``terms``
         (TERMS_SCHEMA): the term counts of the inserted rows.  All are read more than
         once, so they should be tables (checkpoints).  Only days with an inserted or
-        changed row are written again."""
+        changed row, and days that share a span with one, are written again."""
         version = state["version"] + 1
         names = ARTICLES_SCHEMA.names
         inserted = inserted.select(*names, day_of().alias("day"))
-        added = sorted(r[0] for r in inserted.select("day").distinct().collect())
+        more = {r[0]: r[1] for r in inserted.groupBy("day").count().collect()}
+        added = sorted(more)
         changed = updates.select("id", F.col("alt_sources").alias("_alt"))
         days = {r[0] for r in self.articles(state).select("id", "day").join(changed, "id").select("day").distinct().collect()} | set(added)
-        new = {**state, "version": version, "feeds": dict(state["feeds"])}
+        days |= self._span_mates(state, days)
+        new = {**state, "version": version, "feeds": dict(state["feeds"]), "spans": dict(state.get("spans", {}))}
+        firsts = None
         if days:
-            touched = {"articles": {d: v for d, v in state["articles"].items() if d in days}}
-            old = self.articles(touched).join(changed, "id", "left").withColumn("alt_sources", F.coalesce("_alt", "alt_sources"))
-            self._write(old.select(*names, "day").unionByName(inserted), "articles", version)
+            touched = {**state, "articles": {d: v for d, v in state["articles"].items() if d in days}}
+            old = self.articles(touched)
+            if len(days) > self.day_folders:
+                for d, n in old.groupBy("day").count().collect():
+                    more[d] = more.get(d, 0) + n
+                firsts = new["spans"][str(version)] = cut_spans(more, self.span_rows)
+            old = old.join(changed, "id", "left").withColumn("alt_sources", F.coalesce("_alt", "alt_sources"))
+            self._write(old.select(*names, "day").unionByName(inserted), "articles", version, firsts, sorted(days))
             new["articles"] = {**state["articles"], **{d: version for d in days}}
         if added:
             counted = terms.withColumn("day", day_of())
             per_term = counted.select("day", F.explode("terms").alias("t")).groupBy("day", F.col("t.term").alias("term")) \
                 .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("corpus_tf"))
             per_day = counted.groupBy("day").agg(F.count(F.lit(1)).alias("df"))
-            self._write(counted, "terms", version)
-            self._write(per_term.unionByName(per_day, allowMissingColumns=True), "term_days", version)
+            self._write(counted, "terms", version, firsts, added)
+            self._write(per_term.unionByName(per_day, allowMissingColumns=True), "term_days", version, firsts, added)
             new["terms"] = [*state["terms"], [version, sorted(r[0] for r in per_day.select("day").collect())]]
         sources.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sources/version={version}")  # a small dimension
         new["sources"] = version
@@ -150,9 +214,9 @@ class ArticleStore:
         now = now if isinstance(now, datetime.datetime) else datetime.datetime.fromisoformat(str(now))
         cutoff = (now.date() - datetime.timedelta(days=days)).isoformat()
         state = self.state()
-        gone = sorted(d for d in state["articles"] if d != UNDATED and d < cutoff)
+        gone = {d for d in state["articles"] if d != UNDATED and d < cutoff}
         if gone:
             self._record({**state, "version": state["version"] + 1,
                           "articles": {d: v for d, v in state["articles"].items() if d not in gone},
                           "terms": [[v, left] for v, held in state["terms"] if (left := [d for d in held if d not in gone])]})
-        return gone
+        return sorted(gone)

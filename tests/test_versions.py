@@ -10,7 +10,7 @@ from articlespark.operators.ingest import ingest_batch, ingest_into, stored_corp
 from articlespark.operators.store import empty_store, purge
 from articlespark.operators.tfidf import corpus_stats, term_counts
 from articlespark.functions.text import doc_text
-from articlespark.sources.tables import RAW_SCHEMA
+from articlespark.sources.tables import ARTICLES_SCHEMA, RAW_SCHEMA
 from articlespark.sources.versions import ArticleStore
 from articlespark.streaming import ingest as st
 from frames import rows
@@ -159,6 +159,51 @@ def test_purge_is_a_commit_of_whole_days(spark, tmp_path):
     assert store.articles().count() == kept.count() + 1
 
 
+def _contents(store, since=None, until=None):
+    """What a store holds, whatever its folders."""
+    return [sorted(map(tuple, df.collect()), key=str)
+            for df in (store.articles(since=since, until=until), store.terms(since=since), store.term_days(since=since))]
+
+
+def _commit(store, ids_and_days, updates=()):
+    """Articles (id, days after START or None) as one commit without matching."""
+    data = [(i, f"t{i}", None, "x", f"h{i}", "", None if d is None else START + timedelta(days=d), "c", 1, 0.0) for i, d in ids_and_days]
+    by_name = dict(zip(("id", "title", "url", "content", "content_hash", "alt_sources", "date", "category", "source_id", "sentiment_score"), range(10)))
+    inserted = store.spark.createDataFrame([tuple(r[by_name[c]] for c in ARTICLES_SCHEMA.names) for r in data], ARTICLES_SCHEMA)
+    terms = inserted.select("id", "date", F.expr("array(struct('x' AS term, 1L AS tf)) AS terms"))
+    sources = store.spark.createDataFrame([(1, "A", "")], "id long, name string, url string")
+    store.commit(store.state(), inserted, store.spark.createDataFrame(list(updates), "id long, alt_sources string"), sources, terms)
+
+
+def test_spans_of_days_hold_what_days_hold(spark, tmp_path):
+    by_day, spans = ArticleStore(spark, str(tmp_path / "days")), ArticleStore(spark, str(tmp_path / "spans"), day_folders=3, span_rows=6)
+    steps = [([(i, i // 2) for i in range(40)] + [(90, None)], []), ([(100, 3), (101, 30)], [(20, "B"), (90, "C")]), None, ([(110, 1), (111, 8)], [(24, "D")])]
+    for step in steps:
+        for store in (by_day, spans):
+            if step is None:
+                assert len(store.purge(START + timedelta(days=15), days=8)) == 7  # cuts a span; a purged day comes again later
+            else:
+                _commit(store, *step)
+    assert spans.state()["spans"] and _contents(spans) == _contents(by_day)
+    assert spans.state()["articles"].keys() == by_day.state()["articles"].keys()
+    for since, until in (("2025-06-09", "2025-06-12"), ("2025-06-11", None), ("2030-01-01", None)):
+        assert _contents(spans, since, until) == _contents(by_day, since, until)
+    assert len(spans.articles(since="2025-06-09", until="2025-06-12").inputFiles()) < len(spans.articles().inputFiles())
+
+
+def test_folders_do_not_grow_with_days(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "s"))
+    store.span_rows = 100
+    _commit(store, [(i, i) for i in range(400)])
+    for table in ("articles", "terms", "term_days"):
+        assert len(list((tmp_path / "s" / table / "version=1").iterdir())) < 10
+    assert store.articles().select("day").distinct().count() == 400 and store.term_days().count() == 800
+    # a change of one article writes its span again, and no other
+    _commit(store, [], [(150, "B")])
+    assert sorted(store.state()["articles"].values()).count(2) == 100
+    assert rows(store.articles().where("alt_sources = 'B'"), "id") == [(150,)] and store.articles().count() == 400
+
+
 def test_empty_store_and_empty_batch(spark, tmp_path):
     store = ArticleStore(spark, str(tmp_path / "s"))
     assert store.state()["version"] == 0 and store.articles().count() == store.sources().count() == store.terms().count() == 0
