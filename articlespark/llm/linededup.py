@@ -44,13 +44,29 @@ def line_words(line: Column) -> Column:
     return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), BLANK)
 
 
+def text_words(text: Column) -> Column:
+    """The words of each of a text's lines.  Where single blanks part all words, as in most
+    texts, no pattern is needed."""
+    lines = F.split(text, "\n")
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.transform(lines, line_words)) \
+        .otherwise(F.transform(lines, lambda line: F.split(F.btrim(F.lower(line), F.lit(" ")), " ")))
+
+
 def _lines(docs: DataFrame, rid: str, min_words: int) -> DataFrame:
     """The lines that are judged: place (a sortable struct), words, n and the line's id."""
-    lines = docs.select(F.col("doc_id"), F.col(rid).alias("rid"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("words", line_words(F.col("line"))).withColumn("n", F.size("words")).where(F.col("n") >= min_words)
+    # Words are cut before the explode: a filter on a column of it would be pushed below and cut them again.
+    lines = _places(docs, rid, text_words(F.col("text")), "words")
+    return lines.withColumn("n", F.size("words")).where(F.col("n") >= min_words).select(
+        "place", "words", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
+
+
+def _places(docs: DataFrame, rid: str, lines: Column, name: str) -> DataFrame:
+    """Each of a row's ``lines`` with its place."""
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc"), "rid", "line_no")
-    return lines.select(place.alias("place"), "words", "n", F.xxhash64("words").alias("h1"),
-                        F.xxhash64(F.lit(1), "words").alias("h2"))
+    return docs.select(F.col("doc_id"), F.col(rid).alias("rid"), F.posexplode(lines).alias("line_no", name)).select(place.alias("place"), name)
 
 
 def _half(kind: str, base: Column) -> Column:
@@ -60,7 +76,7 @@ def _half(kind: str, base: Column) -> Column:
     return F.xxhash64(F.lit(kind), base, part)
 
 
-def _near_drops(docs: DataFrame, rid: str, distinct: DataFrame, near_words: int, min_words: int) -> DataFrame:
+def _near_drops(docs: DataFrame, rid: str, distinct: DataFrame, near_words: int) -> DataFrame:
     """Ids of distinct lines with an earlier line within one edit."""
     keys = distinct.where(F.col("n") >= near_words).select(
         *LINE_ID, F.posexplode(F.array("p0", "s0", "p1", "s1")).alias("which", "key"))
@@ -69,8 +85,9 @@ def _near_drops(docs: DataFrame, rid: str, distinct: DataFrame, near_words: int,
         *(F.max(F.col("which") == k).alias(name) for k, name in enumerate(("p0", "s0", "p1", "s1"))))
     live = written(live.join(distinct.select(*LINE_ID, "n", "place"), LINE_ID), "lines-live")
     few = live.count() <= BROADCAST_LINES
-    at = _lines(docs, rid, min_words).select(F.col("place").alias("at"), "words")
-    lines = written(at.join(F.broadcast(live) if few else live, F.col("at") == F.col("place")).drop("at"), "lines-text")
+    at = _places(docs, rid, F.split("text", "\n"), "line").withColumnRenamed("place", "at")
+    lines = at.join(F.broadcast(live) if few else live, F.col("at") == F.col("place")).drop("at")
+    lines = written(lines.withColumn("words", line_words(F.col("line"))).drop("line"), "lines-text")
     # Running combinations of the words' hashes, from the start and from the end.
     words = lines.select(*LINE_ID, "place", "n", "p0", "s0", "p1", "s1", F.posexplode("words").alias("i", "word"))
     line = Window.partitionBy(*LINE_ID)
@@ -118,14 +135,15 @@ def within_one_edit(x: Column, y: Column) -> Column:
 def find_repeated_lines(docs: DataFrame, rid: str, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(rid, dropped): for each row of ``docs`` (doc_id, text, ``rid``) that loses lines,
     their sorted line numbers."""
-    base = F.col("n")
-    halves = [_half("P", base).alias("p0"), _half("S", base).alias("s0"), _half("P", base - 1).alias("p1"), _half("S", base - 1).alias("s1")]
+    base, near_enough = F.col("n"), F.col("n") >= near_words
+    halves = [F.when(near_enough, _half(kind, size)).alias(name)
+              for kind, size, name in (("P", base, "p0"), ("S", base, "s0"), ("P", base - 1, "p1"), ("S", base - 1, "s1"))]
     lines = written(_lines(docs, rid, min_words).select(*LINE_ID, "place", "n", *halves), "lines-ids")
     distinct = written(
         lines.groupBy(*LINE_ID)
         .agg(F.min("place").alias("place"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1"))),
         "lines-distinct")
-    near = _near_drops(docs, rid, distinct, near_words, min_words).withColumn("near", F.lit(True))
+    near = _near_drops(docs, rid, distinct, near_words).withColumn("near", F.lit(True))
     judged = written(distinct.select(*LINE_ID, F.col("place").alias("first"), "copies").join(near, LINE_ID, "left")
                      .where("copies > 1 or near").select(*LINE_ID, "first", F.coalesce("near", F.lit(False)).alias("near")),
                      "lines-judged")
