@@ -1,31 +1,34 @@
-"""Language-model scores by logistic context mixing of bit predictors.
-
-The corpus is gathered as one row for each distinct word with its training count (the
-rows grow with the input).  A word is spelled byte by byte, each byte as eight binary
-decisions.  Five predictors look up hashed contexts (the last one to four bytes, and
-the word so far) in tables of bit counts that are summed over all training words.  Their
-stretched probabilities are combined by weights that a gate selects (how often the word
-so far was seen, and whether the last four bytes were); the weights are learned online,
-batch by batch, each training word being predicted as if one occurrence of it had not
-been counted, and averaged over partitions.
-
-A word's probability is its frequency after absolute discounting, plus what the discounts
-left, times its spelled probability, which is all that a new word has.  Within a document it is refined adaptively: a word's share of
-the words before it is mixed in by a gate that follows the document's rate of repeats so
-far.  Experts of different ``STRENGTHS`` do so, with equal weights at first that follow
-their success in the document.  The total is the text's log10 probability and its bits per byte.
-
-Words that occur most are broadcast (``HELD_WORDS`` at most); the occurrences of all
-others are joined with the word table, so every word is scored exactly.
-
-Defined results: null and empty texts are one end token; a null doc_id is neither held
+"""Language-model scores by logistic context mixing of bit predictors over the running text.
+
+A text is coded as its tokens: each word's bytes (A-Z in lower case) and a blank, then one
+end mark, every byte as eight binary decisions, every occurrence of every word.  Five
+predictors look up hashed contexts in tables of bit counts that are summed over all training
+texts: the last two, three and five bytes (across blanks), the word so far, and the word so
+far with the word before it.  Their stretched probabilities are combined by weights that a
+gate selects (how often the last five bytes, and the word pair so far, were seen); the
+weights are learned online in text order, each byte being predicted as if it had not been
+counted, and averaged over the tasks.
+
+A last stage adapts to the document: experts mix a token's coded probability with its
+discounted training frequency and with its share of the tokens before it in the document,
+the latter by a gate that follows the document's rate of repeats so far.  The experts
+(``EXPERTS``) have equal weights at first and are followed by their success in the document.
+All are probabilities of the token after those before it, so the total is the text's log10
+probability under one model; ``bits_per_byte`` spreads it over the coded bytes.
+
+Tables grow with the training text up to ``TABLE_BITS``; beyond that contexts share slots.
+Words that occur most are broadcast (``HELD_WORDS`` at most); the occurrences of all others
+are joined with the word table, so every token has its exact frequency.
+
+Defined results: null and empty texts are one end mark; a null doc_id is neither held
 out nor learned from; without training documents every count is 0 and the tables are
-empty, and scores stay finite; repeated rows are scored one by one; other columns are
-ignored.  ``docs`` must be a stable scan.
+empty, and scores stay finite; no probability has a floor; repeated rows are scored one by
+one; other columns are ignored.  ``docs`` must be a stable scan.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,23 +37,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, ready, written
-from .words import SPACE_WORDS, iter_words, mix64
+from .words import SPACE_WORDS, Words, hash_prefixes, iter_words, mix64
 
-#: Table sizes, as powers of two, for contexts of 1, 2, 3, 4 bytes and the word so far.
-TABLE_BITS = (16, 17, 19, 19, 20)
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
-ORDERS, GATES = len(TABLE_BITS), 16
+#: Largest tables, as powers of two: the last 2, 3, 5 bytes, the word so far, the pair so far.
+TABLE_BITS = (18, 20, 20, 20, 21)
+ORDERS, CLASSES = len(TABLE_BITS), 8
+GATES = CLASSES * CLASSES
 HELD_WORDS = 300_000
-PART_WORDS = 100_000
-PIECE = 256
+#: Text bytes a task counts or learns from, about: its tables are shuffled.
+TASK_BYTES = 64 << 20
 BLOCK = 1 << 15
-HELD_DECISIONS = 1 << 20
-RATE, PRIOR = 0.05, 0.05
-#: How strongly each of a document's experts trusts its repeats.
-STRENGTHS = (0.0, 0.15, 0.4, 0.8)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+SEGMENT = 1 << 13
+CHUNK = 1 << 19
+RATE, FIRM, START_WEIGHT, PRIOR = 0.05, 100.0, 0.3, 0.05
+#: Stretched probabilities are kept in steps of 1 / SCALE.
+SCALE, LIMIT = 14.0, 11.0
+#: Of each of a document's experts: how strongly it trusts repeats, and the frequency.
+EXPERTS = ((0.0, 0.05), (0.0, 0.5), (0.0, 0.95), (0.15, 0.3), (0.4, 0.3), (0.4, 0.8), (0.8, 0.5))
+BLANK, END = 32, 10
+_SALTS = mix64(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1)
+_NODES = mix64(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-VOCABULARY = "h bigint, word binary, c bigint, n bigint"
+VOCABULARY = "h bigint, c bigint, n bigint"
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,112 +66,128 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for w in iter_words(batch.column(0), SPACE_WORDS, 1 << 23):
             h = w.hashes()
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
+            sorted_h = h[order]
             new = np.ones(len(h), dtype=bool)
-            np.not_equal(h[order][1:], h[order][:-1], out=new[1:])
+            np.not_equal(sorted_h[1:], sorted_h[:-1], out=new[1:])
             start = np.flatnonzero(new)
             if not len(start):
                 continue
             learned = np.add.reduceat(np.repeat(train[w.lo:w.hi], w.counts())[order], start)
-            first = order[start]
-            raw = w.data.tobytes()
-            words = [raw[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[first].view(np.int64)), pa.array(words, pa.binary()), pa.array(learned),
-                 pa.array(np.diff(np.append(start, len(h))))], names=["h", "word", "c", "n"])
-
-
-class Spelling:
-    """Words as rows of bytes, cut into pieces of at most ``PIECE`` bytes; only a word's
-    last piece ends with a blank."""
-
-    def __init__(self, words: list[bytes]):
-        rows, owner, last = [], [], []
-        for k, w in enumerate(words):
-            cuts = [w[a:a + PIECE] for a in range(0, len(w), PIECE)] or [b""]
-            rows += cuts
-            owner += [k] * len(cuts)
-            last += [False] * (len(cuts) - 1) + [True]
-        self.owner = np.array(owner, dtype=np.int64)
-        last = np.array(last, dtype=bool)
-        size = np.array([len(r) for r in rows], dtype=np.int64)
-        order = np.argsort(-(size + last), kind="stable")
-        self.owner, size = self.owner[order], (size + last)[order]
-        self.length = size
-        width = int(size.max(initial=0))
-        flat = b"".join(rows[i].ljust(width, b" ") for i in order.tolist())
-        self.bytes = np.frombuffer(flat, dtype=np.uint8).reshape(len(rows), width) if width else np.zeros((len(rows), 0), np.uint8)
-
-    def steps(self):
-        """(rows, slots of each order, bit) for each decision; the rows are the first ones."""
-        n = len(self.length)
-        so_far = np.full(n, 0x1234567, dtype=np.uint64)
-        recent = np.zeros((n, 4), dtype=np.uint64)
-        for j in range(self.bytes.shape[1]):
-            m = int(np.searchsorted(-self.length, -j, side="left"))  # rows longer than j
-            if not m:
-                return
-            so_far, recent, byte = so_far[:m], recent[:m], self.bytes[:m, j].astype(np.uint64)
-            key, contexts = np.zeros(m, dtype=np.uint64), []
-            for k in range(4):
-                key = (key << np.uint64(8)) | recent[:, k]
-                contexts.append(mix64(key + np.uint64(k + 1) * _STEP))
-            contexts.append(mix64(so_far))
-            node = np.ones(m, dtype=np.uint64)
-            for shift in range(7, -1, -1):
-                bit = (byte >> np.uint64(shift)) & np.uint64(1)
-                slots = []
-                for c, b, o in zip(contexts, TABLE_BITS, OFFSETS):
-                    x = c + node
-                    x *= _STEP
-                    x >>= np.uint64(64 - b)
-                    x += np.uint64(o)
-                    slots.append(x.view(np.int64))
-                yield m, slots, bit.astype(np.int64)
-                node = (node << np.uint64(1)) | bit
-            so_far = mix64(so_far * np.uint64(31) + byte + np.uint64(1))
-            recent = np.concatenate([byte[:, None], recent[:, :3]], axis=1)
-
-
-def _word_batches(batches: Iterator[pa.RecordBatch], size: int = 8192):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, size):
-            part = batch.slice(lo, size)
-            yield (part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_numpy(), part.column(3).to_numpy())
-
-
-def _count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((int(OFFSETS[-1]), 2), dtype=np.float32)
-    flat, some, held, decisions = table.reshape(-1), False, [], 0
-
-    def add():
-        if not held:
-            return
-        *slots, weight = (np.concatenate(x) for x in zip(*held))
-        for x, lo, hi in zip(slots, 2 * OFFSETS[:-1], 2 * OFFSETS[1:]):
-            flat[lo:hi] += np.bincount(x - lo, weight, hi - lo)
-        held.clear()
-
-    for _, words, c, _ in _word_batches(batches):
-        known = np.flatnonzero(c > 0)
-        if not len(known):
-            continue
-        some = True
-        s = Spelling([words[i] for i in known.tolist()])
-        weight = c[known][s.owner].astype(np.float32)
-        for m, slots, bit in s.steps():
-            held.append([2 * x + bit for x in slots] + [weight[:m]])
-            decisions += m
-            if decisions >= HELD_DECISIONS:
-                add()
-                decisions = 0
-    add()
-    if some:
-        for k in range(0, len(table), BLOCK):
-            part = table[k:k + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                                                 names=["block", "counts"])
+                [pa.array(sorted_h[start].view(np.int64)), pa.array(learned), pa.array(np.diff(np.append(start, len(h))))],
+                names=["h", "c", "n"])
+
+
+def table_bits(train_bytes: int) -> tuple[int, ...]:
+    return tuple(min(b, max(12, int(train_bytes).bit_length() + 1)) for b in TABLE_BITS)
+
+
+def table_offsets(bits: tuple[int, ...]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([1 << b for b in bits])])
+
+
+class Stream:
+    """The coded bytes of some documents and the contexts of each, as slots of the tables in
+    a row.  Its tokens (words and end marks, in text order) start at ``starts``; ``words`` are
+    the hashes of its words."""
+
+    def __init__(self, w: Words, bits: tuple[int, ...]):
+        ends_at = w.first[1:]
+        starts = np.insert(w.starts, ends_at, 0)
+        size = np.insert(w.ends - w.starts, ends_at, 0) + 1
+        after = np.cumsum(size)
+        self.size, self.starts, total = size, after - size, int(after[-1])
+        self.is_end = np.zeros(len(size), dtype=bool)
+        self.is_end[ends_at + np.arange(len(ends_at))] = True
+        source = np.repeat(starts - self.starts, size)
+        source += np.arange(total)
+        data = np.append(w.data, np.uint8(BLANK))
+        self.bytes = data.take(source, mode="clip")
+        self.bytes[after - 1] = np.where(self.is_end, np.uint8(END), np.uint8(BLANK))
+        heads = np.append(0, after[self.is_end][:-1])
+        # Bytes before a document's first one are end marks.
+        sums, past = {}, np.zeros(total, dtype=np.uint64)
+        for k in range(1, 6):
+            x = np.full(total, END, dtype=np.uint8)
+            x[k:] = self.bytes[:-k]
+            for j in range(k):
+                at = heads + j
+                x[at[at < total]] = END
+            past <<= np.uint64(8)
+            past |= x
+            sums[k] = past.copy() if k in (2, 3, 5) else None
+        self.words = w.hashes()
+        token = np.zeros(len(size), dtype=np.uint64)
+        token[~self.is_end] = self.words
+        before = np.append(np.uint64(0), token[:-1])  # an end mark's is 0, and so is that before a first word
+        so_far = hash_prefixes(self.bytes, self.starts, size)
+        pair = so_far + np.repeat(mix64(before + np.uint64(7)), size)
+        self.contexts = np.empty((ORDERS, total), dtype=np.int64)
+        for out, x, salt, b, offset in zip(self.contexts, (sums[2], sums[3], sums[5], so_far, pair), _SALTS, bits, table_offsets(bits)):
+            x ^= x >> np.uint64(29)
+            x *= salt
+            x >>= np.uint64(64 - b)
+            np.add(x.view(np.int64), offset, out=out)
+
+    def segments(self) -> Iterator[slice]:
+        for lo in range(0, len(self.bytes), SEGMENT):
+            yield slice(lo, lo + SEGMENT)
+
+
+class Coder:
+    """Slots of decisions.  A byte's decisions before it, as a number with a leading 1, are a
+    node; a node moves a context's slot within a block as large as the smallest table."""
+
+    def __init__(self, bits: tuple[int, ...]):
+        self.nodes = (_NODES >> np.uint64(64 - min(bits))).astype(np.int64)
+        # Twice the slot, plus the decision taken: by the node that it leads to.
+        self.taken = 2 * self.nodes[np.arange(512) >> 1] + np.arange(512) % 2
+
+    def steps(self, stream: Stream, part: slice, taken: bool = False):
+        """(decision, slots of each order) for each of the eight decisions of the bytes;
+        with ``taken``, twice the slot plus the decision."""
+        byte, contexts = stream.bytes[part].astype(np.int64), stream.contexts[:, part]
+        if taken:
+            contexts = 2 * contexts
+        slots = np.empty(contexts.shape, dtype=np.int64)
+        for t in range(8):
+            to = (byte >> (7 - t)) | (2 << t)
+            np.bitwise_xor(contexts, self.taken.take(to) if taken else self.nodes.take(to >> 1), out=slots)
+            yield to & 1, slots
+
+    def count(self, stream: Stream, counts: np.ndarray) -> None:
+        """Adds the bytes' decisions; equal bytes of a context are added at once."""
+        for context in stream.contexts:
+            key = context << 8
+            key |= stream.bytes
+            key.sort()
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            times = np.diff(np.append(start, len(key))).astype(np.uint32)
+            key = key[start]
+            twice, byte = (key >> 8) << 1, key & 255
+            for t in range(8):
+                np.add.at(counts, twice ^ self.taken.take((byte >> (7 - t)) | (2 << t)), times)
+
+    def gates(self, seen: np.ndarray, stream: Stream, part: slice) -> np.ndarray:
+        five, pair = (seen.take(stream.contexts[k, part] ^ self.nodes[1]) for k in (2, 4))
+        return five + CLASSES * pair.astype(np.int64)
+
+
+def _count_bits(bits: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, coder, some = np.zeros(2 * int(table_offsets(bits)[-1]), dtype=np.uint32), Coder(bits), False
+        for batch in batches:
+            for w in iter_words(batch.column(0), SPACE_WORDS, CHUNK):
+                some = True
+                coder.count(Stream(w, bits), table)
+        if some:
+            for k in range(0, len(table), 2 * BLOCK):
+                part = table[k:k + 2 * BLOCK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k // (2 * BLOCK)], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())],
+                                                     names=["block", "counts"])
+    return run
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,101 +203,128 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield row()
                 total = None
             block = b
-            part = np.frombuffer(x, "<f4").astype(np.float64)
+            part = np.frombuffer(x, "<u4").astype(np.float64)
             total = part if total is None else total + part
     if block is not None:
         yield row()
 
 
 def _predictors(table: np.ndarray, without_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Of each slot, the stretched probability of a 1 and its share of the gate; with
-    ``without_one``, of each slot and bit, as if that bit had been counted once less."""
-    n0, n1 = (np.stack([x, x], axis=1) if without_one else x for x in (table[:, 0], table[:, 1]))
-    if without_one:
-        n0[:, 0], n1[:, 1] = np.maximum(n0[:, 0] - 1, 0), np.maximum(n1[:, 1] - 1, 0)
-    stretched = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
-    gate = np.zeros(n0.shape, dtype=np.int8)
-    near, word = slice(OFFSETS[3], OFFSETS[4]), slice(OFFSETS[4], OFFSETS[5])
-    gate[near] = n0[near] + n1[near] > 0
-    gate[word] = np.minimum(np.log2(1 + n0[word] + n1[word]), GATES // 2 - 1).astype(np.int8) * 2
-    return stretched.ravel(), gate.ravel()
-
-
-def _predict(predictors, slots: list[np.ndarray], weights: np.ndarray):
-    """The predictors' stretched probabilities, the gate and the mixed stretched probability."""
-    stretched, gates = predictors
-    st = [stretched.take(x) for x in slots]
-    gate = gates.take(slots[4]) + gates.take(slots[3])
-    x = weights[0].take(gate) * st[0]
-    for w, t in zip(weights[1:], st[1:]):
-        x += w.take(gate) * t
-    return st, gate, np.clip(x, -20, 20, out=x)
-
-
-def _learn_weights(predictors_ref):
+    """Of each slot, the stretched probability of a 1, in steps of 1 / SCALE, and its share
+    of the gate; with ``without_one``, of each slot and decision, as if that decision had
+    been counted once less."""
+    stretched = np.empty(table.shape if without_one else len(table), dtype=np.int8)
+    seen = np.empty(len(table), dtype=np.int8)
+    for lo in range(0, len(table), 8 * BLOCK):
+        part = slice(lo, lo + 8 * BLOCK)
+        n0, n1 = table[part, 0], table[part, 1]
+        seen[part] = np.minimum(np.log2(1 + np.maximum(n0 + n1 - without_one, 0)), CLASSES - 1)
+        if without_one:
+            stretched[part, 0], stretched[part, 1] = _stretch(np.maximum(n0 - 1, 0), n1), _stretch(n0, np.maximum(n1 - 1, 0))
+        else:
+            stretched[part] = _stretch(n0, n1)
+    return stretched.ravel(), seen
+
+
+def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(SCALE * np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))), -127, 127)
+
+
+def _learn_weights(ref, bits: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictors = predictors_ref.value
-        weights = np.full((ORDERS, GATES), 1 / ORDERS, dtype=np.float32)
-        seen = np.zeros(GATES)
-        for _, words, c, _ in _word_batches(batches):
-            known = np.flatnonzero(c > 0)
-            if not len(known):
-                continue
-            s = Spelling([words[i] for i in known.tolist()])
-            much = np.sqrt(c[known][s.owner]).astype(np.float32)  # frequent words count more, but not all
-            for m, slots, bit in s.steps():
-                st, gate, x = _predict(predictors, [2 * y + bit for y in slots], weights)
-                pull = (bit - 1 / (1 + np.exp(-x))) * much[:m]
-                share = np.bincount(gate, much[:m], GATES)
-                for k in range(ORDERS):
-                    weights[k] += RATE * np.bincount(gate, pull * st[k], GATES) / np.maximum(share, 1)
-                seen += share
+        (stretched, seen), coder = ref.value, Coder(bits)
+        weights = np.full((ORDERS, GATES), START_WEIGHT / SCALE)
+        total, mean, moved = np.zeros(GATES), np.zeros((ORDERS, GATES)), np.full((ORDERS, GATES), FIRM)
+        for batch in batches:
+            for w in iter_words(batch.column(0), SPACE_WORDS, CHUNK):
+                stream = Stream(w, bits)
+                for part in stream.segments():
+                    gate = coder.gates(seen, stream, part)
+                    own = weights.astype(np.float32).take(gate, axis=1)
+                    pull, st = np.zeros((2, *own.shape), dtype=np.float32)
+                    known = np.empty(own.shape, dtype=np.int8)
+                    for bit, slots in coder.steps(stream, part, True):
+                        stretched.take(slots, out=known, mode="clip")
+                        np.multiply(known, own, out=st)
+                        error = bit.astype(np.float32) - _probability(_total(st))
+                        np.multiply(known, error, out=st)
+                        pull += st
+                    share = np.bincount(gate, minlength=GATES)
+                    for k in range(ORDERS):
+                        step = np.bincount(gate, pull[k], GATES) / SCALE
+                        moved[k] += step * step
+                        weights[k] += RATE / SCALE * step / np.sqrt(moved[k])
+                    total += share
+                    mean += weights * share
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.tile(np.arange(GATES), ORDERS)), pa.array(np.repeat(np.arange(ORDERS), GATES)),
-             pa.array((weights * seen).ravel()), pa.array(np.tile(seen, ORDERS))], names=["gate", "k", "w", "seen"])
+             pa.array(mean.ravel() * SCALE), pa.array(np.tile(total, ORDERS))], names=["gate", "k", "w", "seen"])
     return run
 
 
-def _spell_costs(predictors_ref, weights: np.ndarray):
-    """log2 probability of each word."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictors = predictors_ref.value
-        for h, words, c, n in _word_batches(batches):
-            s = Spelling(words)
-            bits = np.zeros(len(s.owner))
-            for m, slots, bit in s.steps():
-                _, _, x = _predict(predictors, slots, weights)
-                bits[:m] -= np.log2(1 + np.exp(np.where(bit == 1, -x, x)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(c), pa.array(n), pa.array(np.bincount(s.owner, bits, len(words)))],
-                names=["h", "c", "n", "lp"])
-    return run
+def _total(st: np.ndarray) -> np.ndarray:
+    x = st[0]
+    for y in st[1:]:
+        x += y
+    return x
+
+
+def _probability(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -LIMIT, LIMIT, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def token_costs(stream: Stream, coder: Coder, predictors, weights: np.ndarray) -> np.ndarray:
+    """Natural log of the coded probability of each token."""
+    stretched, seen = predictors
+    weights = (weights / SCALE).astype(np.float32)
+    cost = np.empty(len(stream.bytes))
+    for part in stream.segments():
+        own = weights.take(coder.gates(seen, stream, part), axis=1)
+        odds, st, known = np.ones(own.shape[1]), np.empty_like(own), np.empty(own.shape, dtype=np.int8)
+        for bit, slots in coder.steps(stream, part):
+            stretched.take(slots, out=known, mode="clip")
+            np.multiply(known, own, out=st)
+            x = _total(st)
+            np.clip(x, -LIMIT, LIMIT, out=x)
+            x *= (1 - 2 * bit).astype(np.float32)
+            np.exp(x, out=x)
+            x += 1
+            odds *= x
+        cost[part] = -np.log(odds)
+    return np.add.reduceat(cost, stream.starts)
 
 
 class Scorer:
-    """What a document needs: the held words' counts and log2 probabilities, and totals."""
+    """What a document needs: the tables, the held words' counts, and totals."""
 
-    def __init__(self, h, c, lp, train: int, ends: int, distinct: int):
+    def __init__(self, h, c, train: int, ends: int, distinct: int, discount: float, predictors, weights, bits):
         order = np.argsort(h.view(np.uint64))
-        self.h, self.c, self.lp = h.view(np.uint64)[order], c[order], lp[order]
-        self.train, self.ends, self.distinct = train, ends, distinct
+        self.h, self.c = h.view(np.uint64)[order], c[order]
+        self.train, self.ends, self.distinct, self.discount = train, ends, distinct, discount
+        self.predictors, self.weights, self.bits = predictors, weights, bits
 
     def base(self, c):
         return np.log10((c + 0.1) / (self.train + 0.1 * (self.distinct + 1)))
 
-    def end_share(self) -> float:
-        return (self.ends + 0.5) / (self.train + 1)
+    def frequency(self, c):
+        return np.maximum(c - self.discount, 0) / max(1, self.train)
 
 
 def _score(ref):
-    rest_type = pa.list_(pa.struct([("h", pa.int64()), ("gate", pa.float64()), ("again", pa.float64())]))
+    rest_type = pa.list_(pa.struct([("h", pa.int64()), ("gate", pa.float64()), ("again", pa.float64()), ("lp", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Scorer = ref.value
-        more, end = np.log10(1 - s.end_share()), np.log10(s.end_share())
+        coder = Coder(s.bits)
         for batch in batches:
-            for w in iter_words(batch.column(1), SPACE_WORDS):
-                h, count, first = w.hashes(), w.counts(), w.first
+            for w in iter_words(batch.column(1), SPACE_WORDS, CHUNK):
+                stream = Stream(w, s.bits)
+                coded = token_costs(stream, coder, s.predictors, s.weights)
+                h, count, first = stream.words, w.counts(), w.first
                 doc = w.doc_of_word()
                 docs, n = w.hi - w.lo, len(h)
                 spot = np.minimum(np.searchsorted(s.h, h), max(0, len(s.h) - 1))
@@ -291,17 +342,22 @@ def _score(ref):
                 repeats = repeats - repeats[first[:-1][doc]] if n else repeats
                 gate = np.where(place > 0, (repeats + 0.5) / (place + 1), 0)
                 again = rank / np.maximum(place, 1)
-                p = np.exp2(s.lp[spot]) if len(s.h) else np.zeros(n)
-                scores = [np.bincount(doc, np.where(held, np.log10(np.maximum((1 - g * gate) * p + g * gate * again, 1e-300)), 0) + more, docs) + end
-                          for g in STRENGTHS]
+                # An end mark repeats nothing, but its gate is open like a word's.
+                lp, end_lp = coded[~stream.is_end], coded[stream.is_end]
+                known = np.bincount(doc, rank > 0, docs)
+                end_gate = np.where(count > 0, (known + 0.5) / (count + 1), 0)
+                known_share, end_share = s.frequency(c), s.frequency(np.float64(s.ends))
+                scores = [np.bincount(doc, np.where(held, expert(g, f, gate, again, known_share, lp), 0), docs)
+                          + expert(g, f, end_gate, 0.0, end_share, end_lp) for g, f in EXPERTS]
                 base = np.where(held, s.base(c), 0)
                 rest = np.flatnonzero(~held)
                 cut = np.searchsorted(rest, first)
-                items = pa.StructArray.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(gate[rest]), pa.array(again[rest])],
-                                                   names=["h", "gate", "again"])
+                items = pa.StructArray.from_arrays(
+                    [pa.array(h[rest].view(np.int64)), pa.array(gate[rest]), pa.array(again[rest]), pa.array(lp[rest])],
+                    names=["h", "gate", "again", "lp"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(w.lo, docs), batch.column(2).slice(w.lo, docs), pa.array(count + 1),
-                     pa.array(np.diff(w.offsets)),
+                     pa.array(np.bincount(np.cumsum(stream.is_end) - stream.is_end, stream.size, docs).astype(np.int64)),
                      pa.array(np.bincount(doc, held & (c > 0), docs).astype(np.int64) + int(s.ends > 0)),
                      pa.array(np.bincount(doc, base, docs) + s.base(s.ends)), pa.array(np.stack(scores, axis=1).tolist(), pa.list_(pa.float64())),
                      pa.ListArray.from_arrays(pa.array(cut, pa.int32()), items).cast(rest_type)],
@@ -309,6 +365,22 @@ def _score(ref):
     return run
 
 
+def expert(g: float, f: float, gate, again, share, lp):
+    """Natural log of the probability an expert gives a token: coded, repeated or by frequency."""
+    plain = (1 - f) * (1 - g * gate)
+    other = f * (1 - g * gate) * share + g * gate * again
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(plain) + lp, np.log(other))
+
+
+def _expert_column(g: float, f: float, share):
+    """The same over columns gate, again and lp."""
+    kept = 1 - g * F.col("gate")
+    coded = F.ln((1 - f) * kept) + F.col("lp")
+    other = f * kept * share + g * F.col("gate") * F.col("again")
+    return F.when(other > 0, F.greatest(coded, F.ln(other)) + F.log1p(F.exp(-F.abs(coded - F.ln(other))))).otherwise(coded)
+
+
 def score_documents(docs: DataFrame, row_id: str, held_words: int = HELD_WORDS) -> DataFrame:
     """(row_id, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte) for each row of ``docs`` (``row_id``, doc_id, text)."""
@@ -316,56 +388,57 @@ def score_documents(docs: DataFrame, row_id: str, held_words: int = HELD_WORDS)
     ready(spark)
     train = F.coalesce(crc_mod("doc_id", 10) != 0, F.lit(False))
     words = written(docs.select("text", train.alias("train")).mapInArrow(_vocabulary, VOCABULARY)
-                    .groupBy("h").agg(F.first("word").alias("word"), F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
-    ends = docs.where(train).count()
+                    .groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
+    ends, size = docs.where(train).agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     distinct, tokens, rows, once, twice = words.agg(
         F.count_if(F.col("c") > 0), F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))  # taken off every count
-    new = discount * distinct / tokens if tokens else 1.0  # what that leaves to spelling
-    parts = max(1, -(-rows // PART_WORDS))
-    dealt = words.repartition(parts, "h")
-    blocks = dealt.mapInArrow(_count_bits, "block int, counts binary").repartition("block").sortWithinPartitions("block") \
+    bits = table_bits(size or 0)
+    offsets = table_offsets(bits)
+    learnt = docs.where(train).select("text")
+    learnt = learnt.coalesce(max(1, -(-(size or 0) // TASK_BYTES)))
+    blocks = learnt.mapInArrow(_count_bits(bits), "block int, counts binary").repartition("block").sortWithinPartitions("block") \
         .mapInArrow(_sum_blocks, "block int, counts binary")
-    table = np.zeros((int(OFFSETS[-1]), 2), dtype=np.float32)
-    for r in blocks.collect():  # one row a block: the size of the tables at most
+    table = np.zeros((int(offsets[-1]), 2), dtype=np.float32)
+    for r in blocks.toLocalIterator():  # one row a block: the size of the tables at most
         part = np.frombuffer(r["counts"], "<f4").reshape(-1, 2)
         table[r["block"] * BLOCK:r["block"] * BLOCK + len(part)] = part
-    plain, less = (spark.sparkContext.broadcast(_predictors(table, x)) for x in (False, True))
-    learned = dealt.mapInArrow(_learn_weights(less), "gate bigint, k bigint, w double, seen double") \
+    less = spark.sparkContext.broadcast(_predictors(table, True))
+    plain = _predictors(table)
+    del table
+    learned = learnt.mapInArrow(_learn_weights(less, bits), "gate bigint, k bigint, w double, seen double") \
         .groupBy("gate", "k").agg((F.sum("w") / F.greatest(F.sum("seen"), F.lit(1e-9))).alias("w"), F.sum("seen").alias("seen")).collect()
-    weights = np.full((ORDERS, GATES), 1 / ORDERS, dtype=np.float32)
+    less.unpersist()
+    weights = np.full((ORDERS, GATES), START_WEIGHT, dtype=np.float32)
     for r in learned:
         if r["seen"] > 0:
             weights[r["k"], r["gate"]] = r["w"]
-    mixed = F.log2(F.greatest(F.col("c") - discount, F.lit(0.0)) / float(max(1, tokens or 0)) + new * F.pow(F.lit(2.0), "lp"))
-    costs = written(dealt.mapInArrow(_spell_costs(plain, weights), "h bigint, c bigint, n bigint, lp double")
-                    .withColumn("lp", F.greatest(mixed, F.lit(-1000.0))), "lm-costs")
     # The most frequent words, as many whole frequency classes as the bound holds.
     least = 0
     if rows > held_words:
-        classes = costs.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(held_words).toPandas()
+        classes = words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(held_words).toPandas()
         fit = classes["n"][classes["k"].cumsum() <= held_words]
         least = int(fit.min()) if len(fit) else 1 << 62
-    top = costs.where(F.col("n") >= least).select("h", "c", "lp").toPandas()
-    scorer = Scorer(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["lp"].to_numpy(np.float64),
-                    (tokens or 0) + ends, ends, (distinct or 0) + int(ends > 0))
+    top = words.where(F.col("n") >= least).select("h", "c").toPandas()
+    scorer = Scorer(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), (tokens or 0) + ends, ends,
+                    (distinct or 0) + int(ends > 0), discount, plain, weights, bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = written(docs.select(F.col(row_id).alias("rid"), "text", "doc_id").mapInArrow(
         _score(spark.sparkContext.broadcast(scorer)),
         f"rid bigint, doc_id {kind}, n_tokens bigint, n_bytes bigint, n_known bigint, base_score double, scores array<double>, "
-        "rest array<struct<h:bigint,gate:double,again:double>>"), "lm-scored")
-    rest = scored.select("rid", F.explode("rest").alias("x")).select("rid", "x.*").join(costs.where(F.col("n") < least), "h")
+        "rest array<struct<h:bigint,gate:double,again:double,lp:double>>"), "lm-scored")
+    rest = scored.select("rid", F.explode("rest").alias("x")).select("rid", "x.*").join(words.where(F.col("n") < least).drop("n"), "h")
     spread = float(scorer.train + 0.1 * (scorer.distinct + 1))
+    share = F.greatest(F.col("c") - discount, F.lit(0.0)) / float(max(1, scorer.train))
     rest = rest.groupBy("rid").agg(
         F.sum(F.log10((F.col("c") + 0.1) / spread)).alias("rest_base"), F.count_if(F.col("c") > 0).alias("rest_known"),
-        F.array(*(F.sum(F.log10(F.greatest(F.pow(F.lit(2.0), "lp") * (1 - g * F.col("gate")) + g * F.col("gate") * F.col("again"),
-                                           F.lit(1e-300)))) for g in STRENGTHS)).alias("rest_scores"))
+        F.array(*(F.sum(_expert_column(g, f, share)) for g, f in EXPERTS)).alias("rest_scores"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    each = F.zip_with("scores", F.coalesce("rest_scores", F.array(*[F.lit(0.0)] * len(STRENGTHS))), lambda a, b: a + b)
+    each = F.zip_with("scores", F.coalesce("rest_scores", F.array(*[F.lit(0.0)] * len(EXPERTS))), lambda a, b: a + b)
     best = F.array_max("each")
-    score = best + F.log10(F.aggregate("each", F.lit(0.0), lambda t, x: t + F.pow(F.lit(10.0), x - best)) / len(STRENGTHS))
+    score = (best + F.ln(F.aggregate("each", F.lit(0.0), lambda t, x: t + F.exp(x - best)) / len(EXPERTS))) / math.log(10)
     return scored.drop("rest").join(rest, "rid", "left").withColumn("each", each).select(
         F.col("rid").alias(row_id), "doc_id", F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens",
         (F.col("n_known") + zero("rest_known")).alias("n_known"), F.lit(scorer.train).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + zero("rest_base")).alias("base_score"), score.alias("score"),
-        (-score / F.lit(float(np.log10(2))) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+        (-score / math.log10(2) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

@@ -78,6 +78,24 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def hash_prefixes(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit value, for each byte, of its range's bytes before it; the ranges, in order,
+    cover ``data``.  Equal beginnings of ranges have equal values wherever they are."""
+    out = np.empty(len(data), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(starts, base + _HASH_STEP, side="right")) - 1)
+        end = int(starts[hi - 1] + size[hi - 1])
+        power, inverse = _power_tables(end - base + 1)
+        total = np.zeros(end - base + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUES[data[base:end]] * power[:end - base], out=total[1:])
+        s = starts[lo:hi] - base
+        out[base:end] = (total[:-1] - np.repeat(total[s], size[lo:hi])) * np.repeat(inverse[s], size[lo:hi])
+        lo = hi
+    return out
+
+
 def hash_bytes(word: bytes) -> int:
     """The same hash for one word that is already in lower case."""
     data = np.frombuffer(word, dtype=np.uint8)
