@@ -15,8 +15,8 @@ is itself dropped does not matter, so the outcome depends on no order of work.
    needed: a hot key is one minimum, never pairs.
 4. The earliest line found for each line is compared with it word by word.
 
-Keys are 128 bits wide.  Prefixes and suffixes are hashed by position and combined with
-running exclusive-or, so a line's variants cost its length, not its square.
+Keys are 128 bits wide.  Beginnings and ends are hashed in chained blocks of words, so a
+line's variants cost its length, not its square.
 
 Defined results: lines of fewer than ``min_words`` words are kept, and lines of fewer
 than ``near_words`` words are only compared for equality; a null text stays null; an
@@ -37,30 +37,41 @@ NEAR_WORDS = 10
 #: Live lines that are broadcast at most (about 100 bytes each); beyond that they are shuffled.
 BROADCAST_LINES = 200_000
 BLANK = r"[\x20\x09-\x0D]+"
-LINE_ID = ["h1", "h2"]
+LINE_ID = ["x", "y", "n"]
+#: Words of a block: a variant's key costs that much, whatever the line's length.
+BLOCK_WORDS = 64
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def line_words(line: Column) -> Column:
-    return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), BLANK)
+    return F.split(_trimmed(line), BLANK)
 
 
-def text_words(text: Column) -> Column:
-    """The words of each of a text's lines.  Where single blanks part all words, as in most
-    texts, no pattern is needed."""
+def text_lines(text: Column) -> Column:
+    """A text's lines in lower case, their words parted by single blanks.  Where single blanks
+    part all words already, as in most texts, no pattern is needed."""
     lines = F.split(text, "\n")
     odd = F.contains(text, F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(text, F.lit(c))
-    return F.when(odd, F.transform(lines, line_words)) \
-        .otherwise(F.transform(lines, lambda line: F.split(F.btrim(F.lower(line), F.lit(" ")), " ")))
+    return F.when(odd, F.transform(lines, lambda line: F.regexp_replace(_trimmed(line), BLANK, " "))) \
+        .otherwise(F.transform(lines, lambda line: F.btrim(F.lower(line), F.lit(" "))))
+
+
+def text_words(text: Column) -> Column:
+    """The words of each of a text's lines."""
+    return F.transform(text_lines(text), lambda line: F.split(line, " "))
 
 
 def _lines(docs: DataFrame, rid: str, min_words: int) -> DataFrame:
-    """The lines that are judged: place (a sortable struct), words, n and the line's id."""
-    # Words are cut before the explode: a filter on a column of it would be pushed below and cut them again.
-    lines = _places(docs, rid, text_words(F.col("text")), "words")
-    return lines.withColumn("n", F.size("words")).where(F.col("n") >= min_words).select(
-        "place", "words", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
+    """The lines that are judged: place (a sortable struct), the line and its number of words n."""
+    # Lines are made before the explode: a filter on a column of it would be pushed below and make them again.
+    lines = _places(docs, rid, text_lines(F.col("text")), "line")
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return lines.withColumn("n", n).where(F.col("n") >= min_words)
 
 
 def _places(docs: DataFrame, rid: str, lines: Column, name: str) -> DataFrame:
@@ -69,57 +80,82 @@ def _places(docs: DataFrame, rid: str, lines: Column, name: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col(rid).alias("rid"), F.posexplode(lines).alias("line_no", name)).select(place.alias("place"), name)
 
 
-def _half(kind: str, base: Column) -> Column:
-    """Key of the first (P) or last (S) words that an edit in the other half leaves."""
-    h = F.floor(base / 2).cast("int")
-    part = F.slice("words", F.lit(1), h) if kind == "P" else F.slice("words", F.col("n") - (base - h) + 1, base - h)
-    return F.xxhash64(F.lit(kind), base, part)
+def _halves() -> list[Column]:
+    """Hashes of a line's first half (x) and last half (y) of its words, and of the one of both
+    that differs where the line is the longer one of a pair (z).  With n, x and y are its id."""
+    n, odd = F.col("n"), F.col("n") % 2 == 1
+    part = lambda words: F.xxhash64(F.expr(f"substring_index(line, ' ', cast({words} AS int))"))
+    return [part("n div 2").alias("x"), part("-(n - n div 2)").alias("y"),
+            F.when(odd, part("-(n div 2)")).otherwise(part("n div 2 - 1")).alias("z")]
+
+
+def _half_keys() -> list[Column]:
+    """Keys of the first (P) and last (S) words that an edit in the other half leaves, for a
+    pair whose shorter line has n words, then n - 1."""
+    n, odd = F.col("n"), F.col("n") % 2 == 1
+    return [F.xxhash64(F.lit("P"), n, "x"), F.xxhash64(F.lit("S"), n, "y"),
+            F.xxhash64(F.lit("P"), n - 1, F.when(odd, F.col("x")).otherwise(F.col("z"))),
+            F.xxhash64(F.lit("S"), n - 1, F.when(odd, F.col("z")).otherwise(F.col("y")))]
+
+
+def _chain(words: str, k: int) -> Column:
+    """Hashes of the first 0, 1, 2 ... whole blocks of ``BLOCK_WORDS`` words."""
+    n, start = F.size(words), F.array(F.lit(k).cast("bigint"))
+    block = lambda j: F.slice(words, (j * BLOCK_WORDS + 1).cast("int"), F.lit(BLOCK_WORDS))
+    return F.when(n < BLOCK_WORDS, start).otherwise(F.aggregate(
+        F.sequence(F.lit(0), F.floor(n / BLOCK_WORDS).cast("int") - 1), start,
+        lambda t, j: F.concat(t, F.array(F.xxhash64(F.element_at(t, -1), block(j))))))
+
+
+def _first(words: str, chain: str, m: Column) -> Column:
+    """Hash of the first ``m`` words: of whole blocks, and of the rest one by one."""
+    j = F.floor(m / BLOCK_WORDS).cast("int")
+    return F.xxhash64(F.get(chain, j), F.slice(words, j * BLOCK_WORDS + 1, m - j * BLOCK_WORDS))
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """(no, k1, k2) for each variant of the ``lines`` (no, words, p0, s0, p1, s1): a word left
+    out at a place, or the whole line with a word missing before a place or at its end."""
+    n = F.size("words")
+
+    def places(last, size, first_half, last_half):
+        return F.filter(F.sequence(F.lit(0), last), lambda i: F.when(i >= F.floor(size / 2), F.col(first_half)).otherwise(F.col(last_half)))
+
+    lines = lines.select(
+        "no", "words", F.reverse("words").alias("back"), n.alias("n"),
+        *(_chain("words", k).alias(f"chain{k}") for k in (1, 2)),
+        places(n - 1, n, "p0", "s0").alias("whole_0"), places(n - 1, n - 1, "p1", "s1").alias("less"), places(n, n, "p0", "s0").alias("whole"))
+    lines = lines.select("*", *(_chain("back", k).alias(f"back{k}") for k in (1, 2)),
+                         F.array_union("whole_0", "less").alias("without"))
+    at, size = F.col("at"), F.col("size")
+    spots = lines.select("*", F.explode("without").alias("at")).withColumn("size", F.col("n") - 1) \
+        .unionByName(lines.select("*", F.explode("whole").alias("at")).withColumn("size", F.col("n")))
+    x, y = ([_first(words, f"{chain}{k}", m) for k in (1, 2)] for words, chain, m in (("words", "chain", at), ("back", "back", size - at)))
+    return spots.select("no", F.xxhash64(size, at, x[0], y[0]).alias("k1"), F.xxhash64(y[1], x[1], at, size).alias("k2"))
 
 
 def _near_drops(docs: DataFrame, rid: str, distinct: DataFrame, near_words: int) -> DataFrame:
     """Ids of distinct lines with an earlier line within one edit."""
-    keys = distinct.where(F.col("n") >= near_words).select(
-        *LINE_ID, F.posexplode(F.array("p0", "s0", "p1", "s1")).alias("which", "key"))
+    names = ("p0", "s0", "p1", "s1")
+    keys = distinct.where(F.col("n") >= near_words).select("place", F.posexplode(F.array(*_half_keys())).alias("which", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1").select("key")
-    live = keys.join(shared, "key", "left_semi").groupBy(*LINE_ID).agg(
-        *(F.max(F.col("which") == k).alias(name) for k, name in enumerate(("p0", "s0", "p1", "s1"))))
-    live = written(live.join(distinct.select(*LINE_ID, "n", "place"), LINE_ID), "lines-live")
+    live = keys.join(shared, "key", "left_semi").groupBy("place").agg(
+        *(F.max(F.col("which") == k).alias(name) for k, name in enumerate(names)))
+    # Numbers in the order of the places: they are shorter.
+    live = written(live.orderBy("place").withColumn("no", F.monotonically_increasing_id()), "lines-live")
     few = live.count() <= BROADCAST_LINES
     at = _places(docs, rid, F.split("text", "\n"), "line").withColumnRenamed("place", "at")
     lines = at.join(F.broadcast(live) if few else live, F.col("at") == F.col("place")).drop("at")
     lines = written(lines.withColumn("words", line_words(F.col("line"))).drop("line"), "lines-text")
-    # Running combinations of the words' hashes, from the start and from the end.
-    words = lines.select(*LINE_ID, "place", "n", "p0", "s0", "p1", "s1", F.posexplode("words").alias("i", "word"))
-    line = Window.partitionBy(*LINE_ID)
-    until = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for k in (1, 2):
-        from_start, from_end = F.xxhash64(F.lit(k), "word", "i"), F.xxhash64(F.lit(k), "word", F.col("n") - 1 - F.col("i"))
-        words = (words.withColumn(f"a{k}", from_start).withColumn(f"b{k}", from_end)
-                 .withColumn(f"pre{k}", F.bit_xor(f"a{k}").over(until))
-                 .withColumn(f"suf{k}", F.bit_xor(f"b{k}").over(line).bitwiseXOR(F.bit_xor(f"b{k}").over(until))))
-    half, less = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2)
-    as_equal = F.when(F.col("i") >= half, F.col("p0")).otherwise(F.col("s0"))
-    as_longer = F.when(F.col("i") >= less, F.col("p1")).otherwise(F.col("s1"))
-    before = [F.col(f"pre{k}").bitwiseXOR(F.col(f"a{k}")) for k in (1, 2)]
-    without = F.when(as_equal | as_longer, F.struct(
-        (F.col("n") - 1).alias("m"), F.col("i").alias("at"), before[0].alias("x1"), F.col("suf1").alias("y1"),
-        before[1].alias("x2"), F.col("suf2").alias("y2")))
-    # The whole line with a word missing before word i, and, at its last word, after it.
-    whole = F.when(as_equal, F.struct(
-        F.col("n").alias("m"), F.col("i").alias("at"), before[0].alias("x1"), F.col("suf1").bitwiseXOR(F.col("b1")).alias("y1"),
-        before[1].alias("x2"), F.col("suf2").bitwiseXOR(F.col("b2")).alias("y2")))
-    at_end = F.when((F.col("i") == F.col("n") - 1) & F.col("p0"), F.struct(
-        F.col("n").alias("m"), F.col("n").alias("at"), F.col("pre1").alias("x1"), F.lit(0).cast("bigint").alias("y1"),
-        F.col("pre2").alias("x2"), F.lit(0).cast("bigint").alias("y2")))
-    variants = words.select(*LINE_ID, "place", F.explode(F.array_compact(F.array(without, whole, at_end))).alias("v"))
-    variants = written(variants.select(*LINE_ID, "place", F.xxhash64("v.m", "v.at", "v.x1", "v.y1").alias("k1"),
-                                       F.xxhash64("v.y2", "v.x2", "v.at", "v.m").alias("k2")), "lines-variants")
-    first = variants.groupBy("k1", "k2").agg(F.min("place").alias("earlier"), F.count("*").alias("met")) \
+    variants = written(_variants(lines), "lines-variants")
+    first = variants.groupBy("k1", "k2").agg(F.min("no").alias("earlier"), F.count("*").alias("met")) \
         .where("met > 1").drop("met")
-    found = variants.join(first, ["k1", "k2"]).where("earlier < place").groupBy(*LINE_ID).agg(F.min("earlier").alias("earlier"))
-    mine = found.join(lines.select(*LINE_ID, F.col("words").alias("x")), LINE_ID)
-    pair = mine.join(lines.select(F.col("place").alias("earlier"), F.col("words").alias("y")), "earlier")
-    return pair.where(within_one_edit(F.col("x"), F.col("y"))).select(*LINE_ID)
+    found = variants.join(first, ["k1", "k2"]).where("earlier < no").groupBy("no").agg(F.min("earlier").alias("earlier"))
+    mine = found.join(lines.select("no", "place", F.col("words").alias("x")), "no")
+    pair = mine.join(lines.select(F.col("no").alias("earlier"), F.col("words").alias("y")), "earlier")
+    near = pair.where(within_one_edit(F.col("x"), F.col("y")))
+    line = F.array_join("x", " ").alias("line")
+    return near.select(line, F.size("x").alias("n"), "place").select(*_halves(), "n", "place").drop("z")
 
 
 def within_one_edit(x: Column, y: Column) -> Column:
@@ -135,18 +171,14 @@ def within_one_edit(x: Column, y: Column) -> Column:
 def find_repeated_lines(docs: DataFrame, rid: str, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(rid, dropped): for each row of ``docs`` (doc_id, text, ``rid``) that loses lines,
     their sorted line numbers."""
-    base, near_enough = F.col("n"), F.col("n") >= near_words
-    halves = [F.when(near_enough, _half(kind, size)).alias(name)
-              for kind, size, name in (("P", base, "p0"), ("S", base, "s0"), ("P", base - 1, "p1"), ("S", base - 1, "s1"))]
-    lines = written(_lines(docs, rid, min_words).select(*LINE_ID, "place", "n", *halves), "lines-ids")
+    lines = written(_lines(docs, rid, min_words).select(*_halves(), "n", "place"), "lines-ids")
     distinct = written(
-        lines.groupBy(*LINE_ID)
-        .agg(F.min("place").alias("place"), F.count("*").alias("copies"), *(F.any_value(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1"))),
+        lines.groupBy(*LINE_ID).agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.any_value("z").alias("z")),
         "lines-distinct")
-    near = _near_drops(docs, rid, distinct, near_words).withColumn("near", F.lit(True))
-    judged = written(distinct.select(*LINE_ID, F.col("place").alias("first"), "copies").join(near, LINE_ID, "left")
-                     .where("copies > 1 or near").select(*LINE_ID, "first", F.coalesce("near", F.lit(False)).alias("near")),
-                     "lines-judged")
+    near = _near_drops(docs, rid, distinct, near_words)
+    # A line may be both: its numbers are collected as a set.
+    judged = written(distinct.where("copies > 1").select(*LINE_ID, F.col("place").alias("first"), F.lit(False).alias("near"))
+                     .unionByName(near.select(*LINE_ID, F.col("place").alias("first"), F.lit(True).alias("near"))), "lines-judged")
     drops = lines.select(*LINE_ID, "place").join(judged, LINE_ID).where("near or place <> first")
     return drops.groupBy(F.col("place.rid").alias(rid)).agg(F.sort_array(F.collect_set("place.line_no")).alias("dropped"))
 
