@@ -1,8 +1,9 @@
 """Language-model scores by logistic context mixing of bit predictors over the running text.
 
 A text is coded as its tokens: each word's bytes (A-Z in lower case) and a blank, then one
-end mark, every byte as eight binary decisions, every occurrence of every word.  Five
-predictors look up hashed contexts in tables of bit counts that are summed over all training
+end mark, every byte as binary decisions down a tree, every occurrence of every word.  The
+tree is the Huffman code of the training texts' coded bytes: it has a leaf for each of the
+256 bytes, and frequent ones take few decisions.  Five predictors look up hashed contexts in tables of bit counts that are summed over all training
 texts: the last two, three and five bytes (across blanks), the word so far, and the word so
 far with the word before it.  Their stretched probabilities are combined by weights that a
 gate selects (how often the last five bytes, and the word pair so far, were seen); the
@@ -28,6 +29,7 @@ one; other columns are ignored.  ``docs`` must be a stable scan.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -47,8 +49,11 @@ HELD_WORDS = 300_000
 #: Text bytes a task counts or learns from, about: its tables are shuffled.
 TASK_BYTES = 64 << 20
 BLOCK = 1 << 15
-SEGMENT = 1 << 13
-CHUNK = 1 << 19
+SEGMENT = 1 << 12
+#: Text bytes that are worked on at once, and bytes of which equal ones are counted at once.
+CHUNK, COUNTED = 1 << 17, 1 << 21
+#: Nodes of the tree whose slots lie together.
+TOGETHER = 16
 RATE, FIRM, START_WEIGHT, PRIOR = 0.05, 100.0, 0.3, 0.05
 #: Stretched probabilities are kept in steps of 1 / SCALE.
 SCALE, LIMIT = 14.0, 11.0
@@ -58,14 +63,20 @@ BLANK, END = 32, 10
 _SALTS = mix64(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1)
 _NODES = mix64(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-VOCABULARY = "h bigint, c bigint, n bigint"
+#: Of each word (byte is null) its hash and its occurrences, in training texts and in all; of each coded byte its occurrences in training texts.
+VOCABULARY = "byte int, h bigint, c bigint, n bigint"
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coded = np.zeros(256, dtype=np.int64)
     for batch in batches:
         train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for w in iter_words(batch.column(0), SPACE_WORDS, 1 << 23):
             h = w.hashes()
+            learnt = train[w.lo:w.hi] > 0
+            here = np.bincount(w.data[np.repeat(learnt, np.diff(w.offsets))], minlength=256)
+            here[BLANK], here[END] = w.counts()[learnt].sum(), learnt.sum()
+            coded += here
             order = np.argsort(h)
             sorted_h = h[order]
             new = np.ones(len(h), dtype=bool)
@@ -75,8 +86,39 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             learned = np.add.reduceat(np.repeat(train[w.lo:w.hi], w.counts())[order], start)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sorted_h[start].view(np.int64)), pa.array(learned), pa.array(np.diff(np.append(start, len(h))))],
-                names=["h", "c", "n"])
+                [pa.nulls(len(start), pa.int32()), pa.array(sorted_h[start].view(np.int64)), pa.array(learned),
+                 pa.array(np.diff(np.append(start, len(h))))], names=["byte", "h", "c", "n"])
+    some = np.flatnonzero(coded)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(len(some), pa.int64()), pa.array(coded[some]), pa.array(coded[some])],
+                                     names=["byte", "h", "c", "n"])
+
+
+def huffman(counts) -> list[list[tuple[int, int]]]:
+    """Of each of 256 bytes its decisions, as (node, decision) from the root down.  Nodes are
+    numbered from 1 by falling weight; bytes that are rare or missing keep a small weight."""
+    least = max(1, int(sum(counts)) >> 14)
+    heap = [(int(c) + least, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent = {}
+    for node in range(256, 511):  # lighter ones are made first
+        weight = 0
+        for bit in (0, 1):
+            w, child = heapq.heappop(heap)
+            parent[child], weight = (node, bit), weight + w
+        heapq.heappush(heap, (weight, node))
+    paths = []
+    for at in range(256):
+        path = []
+        while at in parent:
+            at, bit = parent[at]
+            path.append((511 - at, bit))
+        paths.append(path[::-1])
+    return paths
+
+
+def eight_bits() -> list[list[tuple[int, int]]]:
+    """The tree of a byte's bits from the highest down."""
+    return [[((256 + b) >> (8 - t), (b >> (7 - t)) & 1) for t in range(8)] for b in range(256)]
 
 
 def table_bits(train_bytes: int) -> tuple[int, ...]:
@@ -136,52 +178,93 @@ class Stream:
 
 
 class Coder:
-    """Slots of decisions.  A byte's decisions before it, as a number with a leading 1, are a
-    node; a node moves a context's slot within a block as large as the smallest table."""
-
-    def __init__(self, bits: tuple[int, ...]):
-        self.nodes = (_NODES >> np.uint64(64 - min(bits))).astype(np.int64)
-        # Twice the slot, plus the decision taken: by the node that it leads to.
-        self.taken = 2 * self.nodes[np.arange(512) >> 1] + np.arange(512) % 2
-
-    def steps(self, stream: Stream, part: slice, taken: bool = False):
-        """(decision, slots of each order) for each of the eight decisions of the bytes;
-        with ``taken``, twice the slot plus the decision."""
-        byte, contexts = stream.bytes[part].astype(np.int64), stream.contexts[:, part]
+    """Slots of decisions.  A byte's ``paths`` (see ``huffman``) name its nodes; a node moves a
+    context's slot within a block as large as the smallest table, and nodes of like weight lie
+    together."""
+
+    def __init__(self, bits: tuple[int, ...], paths=None):
+        paths = eight_bits() if paths is None else paths
+        node = np.arange(256)
+        self.nodes = ((_NODES[node // TOGETHER] >> np.uint64(64 - min(bits))).astype(np.int64) & -TOGETHER) | (node % TOGETHER)
+        self.depth = np.array([len(p) for p in paths])
+        self.node, self.bit = np.zeros((2, max(self.depth), 256), dtype=np.int64)
+        for b, path in enumerate(paths):
+            for t, (x, bit) in enumerate(path):
+                self.node[t, b], self.bit[t, b] = self.nodes[x], bit
+        self.height = (self.depth.max() - self.depth).astype(np.uint8)
+        # Twice the slot, plus the decision taken.
+        self.taken = 2 * self.node + self.bit
+        self.bit = self.bit.astype(np.float32)
+
+    def decisions(self, stream: Stream, part: slice, taken: bool = False):
+        """All decisions of the part's bytes: first those of all bytes, then the second ones of
+        the bytes that have any, and so on.  (positions of the bytes, deepest first; places
+        where the first, second ... decisions end; decisions; their slots of each order; with
+        ``taken``, twice the slot plus the decision)."""
+        byte = stream.bytes[part]
+        order = np.argsort(self.height.take(byte), kind="stable")
+        byte = byte.take(order).astype(np.int64)
+        order += part.indices(len(stream.bytes))[0]
+        contexts = stream.contexts.take(order, axis=1)
         if taken:
-            contexts = 2 * contexts
-        slots = np.empty(contexts.shape, dtype=np.int64)
-        for t in range(8):
-            to = (byte >> (7 - t)) | (2 << t)
-            np.bitwise_xor(contexts, self.taken.take(to) if taken else self.nodes.take(to >> 1), out=slots)
-            yield to & 1, slots
-
-    def count(self, stream: Stream, counts: np.ndarray) -> None:
-        """Adds the bytes' decisions; equal bytes of a context are added at once."""
-        for context in stream.contexts:
-            key = context << 8
-            key |= stream.bytes
+            contexts <<= 1
+        fewer = np.cumsum(np.bincount(self.depth.take(byte), minlength=len(self.node) + 1))[:len(self.node)]
+        sizes = len(byte) - fewer
+        ends = np.cumsum(sizes[sizes > 0])
+        bit, slots = np.empty(ends[-1], dtype=np.float32), np.empty((ORDERS, ends[-1]), dtype=np.int64)
+        nodes, lo = self.taken if taken else self.node, 0
+        for t, hi in enumerate(ends):
+            here = byte[:hi - lo]
+            np.bitwise_xor(contexts[:, :hi - lo], nodes[t].take(here), out=slots[:, lo:hi])
+            self.bit[t].take(here, out=bit[lo:hi], mode="clip")
+            lo = hi
+        return order, ends, bit, slots
+
+    def steps(self, stream: Stream, part: slice):
+        """(decision, slots of each order) for the first, second ... decisions of the bytes that
+        have them, the deepest bytes first."""
+        _, ends, bit, slots = self.decisions(stream, part)
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            yield bit[lo:hi].astype(np.int64), slots[:, lo:hi]
+
+    def keys(self, stream: Stream) -> np.ndarray:
+        """Context and byte in one number, for each order."""
+        return (stream.contexts << 8) | stream.bytes
+
+    def count(self, keys: list[np.ndarray], counts: np.ndarray) -> None:
+        """Adds the decisions of bytes in contexts; equal ones are added at once."""
+        for k in range(ORDERS):
+            key = np.concatenate([x[k] for x in keys])
             key.sort()
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             times = np.diff(np.append(start, len(key))).astype(np.uint32)
             key = key[start]
+            order = np.argsort(self.height.take(key & 255), kind="stable")
+            key, times = key.take(order), times.take(order)
             twice, byte = (key >> 8) << 1, key & 255
-            for t in range(8):
-                np.add.at(counts, twice ^ self.taken.take((byte >> (7 - t)) | (2 << t)), times)
+            sizes = len(byte) - np.cumsum(np.bincount(self.depth.take(byte), minlength=len(self.node) + 1))
+            for t, n in enumerate(sizes[sizes > 0]):
+                np.add.at(counts, twice[:n] ^ self.taken[t].take(byte[:n]), times[:n])
 
     def gates(self, seen: np.ndarray, stream: Stream, part: slice) -> np.ndarray:
-        five, pair = (seen.take(stream.contexts[k, part] ^ self.nodes[1]) for k in (2, 4))
+        five, pair = (seen.take(stream.contexts[k][part] ^ self.nodes[1]) for k in (2, 4))
         return five + CLASSES * pair.astype(np.int64)
 
 
-def _count_bits(bits: tuple[int, ...]):
+def _count_bits(bits: tuple[int, ...], paths=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, coder, some = np.zeros(2 * int(table_offsets(bits)[-1]), dtype=np.uint32), Coder(bits), False
+        table, coder, some = np.zeros(2 * int(table_offsets(bits)[-1]), dtype=np.uint32), Coder(bits, paths), False
+        keys: list[np.ndarray] = []
         for batch in batches:
             for w in iter_words(batch.column(0), SPACE_WORDS, CHUNK):
                 some = True
-                coder.count(Stream(w, bits), table)
+                keys.append(coder.keys(Stream(w, bits)))
+                if sum(x.shape[1] for x in keys) >= COUNTED:
+                    coder.count(keys, table)
+                    keys.clear()
         if some:
+            if keys:
+                coder.count(keys, table)
             for k in range(0, len(table), 2 * BLOCK):
                 part = table[k:k + 2 * BLOCK]
                 if part.any():
@@ -230,25 +313,22 @@ def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(SCALE * np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))), -127, 127)
 
 
-def _learn_weights(ref, bits: tuple[int, ...]):
+def _learn_weights(ref, bits: tuple[int, ...], paths=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (stretched, seen), coder = ref.value, Coder(bits)
+        (stretched, seen), coder = ref.value, Coder(bits, paths)
         weights = np.full((ORDERS, GATES), START_WEIGHT / SCALE)
         total, mean, moved = np.zeros(GATES), np.zeros((ORDERS, GATES)), np.full((ORDERS, GATES), FIRM)
         for batch in batches:
             for w in iter_words(batch.column(0), SPACE_WORDS, CHUNK):
                 stream = Stream(w, bits)
                 for part in stream.segments():
-                    gate = coder.gates(seen, stream, part)
+                    order, ends, bit, slots = coder.decisions(stream, part, True)
+                    gate = coder.gates(seen, stream, order)
                     own = weights.astype(np.float32).take(gate, axis=1)
-                    pull, st = np.zeros((2, *own.shape), dtype=np.float32)
-                    known = np.empty(own.shape, dtype=np.int8)
-                    for bit, slots in coder.steps(stream, part, True):
-                        stretched.take(slots, out=known, mode="clip")
-                        np.multiply(known, own, out=st)
-                        error = bit.astype(np.float32) - _probability(_total(st))
-                        np.multiply(known, error, out=st)
-                        pull += st
+                    x = _looked_up(stretched, slots)
+                    bit -= _probability(_total(_times(x, own, ends, np.empty_like(x))))
+                    x *= bit
+                    pull = _by_byte(x, ends)
                     share = np.bincount(gate, minlength=GATES)
                     for k in range(ORDERS):
                         step = np.bincount(gate, pull[k], GATES) / SCALE
@@ -262,6 +342,27 @@ def _learn_weights(ref, bits: tuple[int, ...]):
     return run
 
 
+def _looked_up(stretched: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return stretched.take(slots, out=np.empty(slots.shape, dtype=np.int8), mode="wrap").astype(np.float32)
+
+
+def _times(x: np.ndarray, own: np.ndarray, ends: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Each decision's values times its byte's weights."""
+    lo = 0
+    for hi in ends:
+        np.multiply(x[:, lo:hi], own[:, :hi - lo], out=out[:, lo:hi])
+        lo = hi
+    return out
+
+
+def _by_byte(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of each byte's decisions."""
+    total = x[..., :ends[0]]
+    for lo, hi in zip(ends, ends[1:]):
+        total[..., :hi - lo] += x[..., lo:hi]
+    return total
+
+
 def _total(st: np.ndarray) -> np.ndarray:
     x = st[0]
     for y in st[1:]:
@@ -283,29 +384,29 @@ def token_costs(stream: Stream, coder: Coder, predictors, weights: np.ndarray) -
     weights = (weights / SCALE).astype(np.float32)
     cost = np.empty(len(stream.bytes))
     for part in stream.segments():
-        own = weights.take(coder.gates(seen, stream, part), axis=1)
-        odds, st, known = np.ones(own.shape[1]), np.empty_like(own), np.empty(own.shape, dtype=np.int8)
-        for bit, slots in coder.steps(stream, part):
-            stretched.take(slots, out=known, mode="clip")
-            np.multiply(known, own, out=st)
-            x = _total(st)
-            np.clip(x, -LIMIT, LIMIT, out=x)
-            x *= (1 - 2 * bit).astype(np.float32)
-            np.exp(x, out=x)
-            x += 1
-            odds *= x
-        cost[part] = -np.log(odds)
+        order, ends, bit, slots = coder.decisions(stream, part)
+        own = weights.take(coder.gates(seen, stream, order), axis=1)
+        st = _looked_up(stretched, slots)
+        x = _total(_times(st, own, ends, st))
+        np.clip(x, -LIMIT, LIMIT, out=x)
+        bit *= -2
+        bit += 1
+        x *= bit
+        np.exp(x, out=x)
+        x += 1
+        np.log(x, out=x)
+        cost[order] = -_by_byte(x, ends)
     return np.add.reduceat(cost, stream.starts)
 
 
 class Scorer:
     """What a document needs: the tables, the held words' counts, and totals."""
 
-    def __init__(self, h, c, train: int, ends: int, distinct: int, discount: float, predictors, weights, bits):
+    def __init__(self, h, c, train: int, ends: int, distinct: int, discount: float, predictors, weights, bits, paths):
         order = np.argsort(h.view(np.uint64))
         self.h, self.c = h.view(np.uint64)[order], c[order]
         self.train, self.ends, self.distinct, self.discount = train, ends, distinct, discount
-        self.predictors, self.weights, self.bits = predictors, weights, bits
+        self.predictors, self.weights, self.bits, self.paths = predictors, weights, bits, paths
 
     def base(self, c):
         return np.log10((c + 0.1) / (self.train + 0.1 * (self.distinct + 1)))
@@ -319,7 +420,7 @@ def _score(ref):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Scorer = ref.value
-        coder = Coder(s.bits)
+        coder = Coder(s.bits, s.paths)
         for batch in batches:
             for w in iter_words(batch.column(1), SPACE_WORDS, CHUNK):
                 stream = Stream(w, s.bits)
@@ -387,8 +488,13 @@ def score_documents(docs: DataFrame, row_id: str, held_words: int = HELD_WORDS)
     spark = docs.sparkSession
     ready(spark)
     train = F.coalesce(crc_mod("doc_id", 10) != 0, F.lit(False))
-    words = written(docs.select("text", train.alias("train")).mapInArrow(_vocabulary, VOCABULARY)
-                    .groupBy("h").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
+    found = written(docs.select("text", train.alias("train")).mapInArrow(_vocabulary, VOCABULARY)
+                    .groupBy("byte", "h").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
+    words = found.where(F.col("byte").isNull()).drop("byte")
+    coded = [0] * 256
+    for r in found.where(F.col("byte").isNotNull()).collect():  # 256 rows at most
+        coded[r["byte"]] = r["c"]
+    paths = huffman(coded)
     ends, size = docs.where(train).agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     distinct, tokens, rows, once, twice = words.agg(
         F.count_if(F.col("c") > 0), F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
@@ -397,7 +503,7 @@ def score_documents(docs: DataFrame, row_id: str, held_words: int = HELD_WORDS)
     offsets = table_offsets(bits)
     learnt = docs.where(train).select("text")
     learnt = learnt.coalesce(max(1, -(-(size or 0) // TASK_BYTES)))
-    blocks = learnt.mapInArrow(_count_bits(bits), "block int, counts binary").repartition("block").sortWithinPartitions("block") \
+    blocks = learnt.mapInArrow(_count_bits(bits, paths), "block int, counts binary").repartition("block").sortWithinPartitions("block") \
         .mapInArrow(_sum_blocks, "block int, counts binary")
     table = np.zeros((int(offsets[-1]), 2), dtype=np.float32)
     for r in blocks.toLocalIterator():  # one row a block: the size of the tables at most
@@ -406,7 +512,7 @@ def score_documents(docs: DataFrame, row_id: str, held_words: int = HELD_WORDS)
     less = spark.sparkContext.broadcast(_predictors(table, True))
     plain = _predictors(table)
     del table
-    learned = learnt.mapInArrow(_learn_weights(less, bits), "gate bigint, k bigint, w double, seen double") \
+    learned = learnt.mapInArrow(_learn_weights(less, bits, paths), "gate bigint, k bigint, w double, seen double") \
         .groupBy("gate", "k").agg((F.sum("w") / F.greatest(F.sum("seen"), F.lit(1e-9))).alias("w"), F.sum("seen").alias("seen")).collect()
     less.unpersist()
     weights = np.full((ORDERS, GATES), START_WEIGHT, dtype=np.float32)
@@ -421,7 +527,7 @@ def score_documents(docs: DataFrame, row_id: str, held_words: int = HELD_WORDS)
         least = int(fit.min()) if len(fit) else 1 << 62
     top = words.where(F.col("n") >= least).select("h", "c").toPandas()
     scorer = Scorer(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), (tokens or 0) + ends, ends,
-                    (distinct or 0) + int(ends > 0), discount, plain, weights, bits)
+                    (distinct or 0) + int(ends > 0), discount, plain, weights, bits, paths)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = written(docs.select(F.col(row_id).alias("rid"), "text", "doc_id").mapInArrow(
         _score(spark.sparkContext.broadcast(scorer)),
