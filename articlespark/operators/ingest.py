@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.sentiment import score_lexicon
 from ..functions.text import doc_text
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread, written
 from ..sources.tables import ARTICLES_SCHEMA
 from ..sources.versions import ArticleStore
 from .dedupe import analysis_clean, exact_deduplicate, with_content_hash
 from .feed import recent
 from .fuzzy import fuzzy_deduplicate, source_updates, store_matches
-from .simjoin import document_vectors
 from .store import enrich, get_or_create_sources, insertions, upsert, write_back_scores
-from .tfidf import corpus_stats, term_counts, vocabulary
+from .tfidf import corpus_stats
+from .vectors import one_text_an_id, term_lists, vectors_of
 
 
 def ingest_batch(raw: DataFrame, articles: DataFrame, sources: DataFrame, now,
@@ -58,10 +58,17 @@ def _as_articles(survivors: DataFrame, sources: DataFrame) -> DataFrame:
 @dataclass
 class StoredCorpus:
     """What D2 needs of the store: the counts of its recent articles, (id, term, tf), how
-    often terms occur in them, (term, df, corpus_tf), and their number (a Column)."""
+    often terms occur in them, (term, df, corpus_tf), their number (a Column), and the
+    counts as the store keeps them, (id, terms)."""
     counts: DataFrame
     stats: DataFrame
     documents: object
+    lists: DataFrame
+
+
+def _long(lists: DataFrame) -> DataFrame:
+    """``(id, term, tf)`` of ``(id, terms)``."""
+    return lists.select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.tf")
 
 
 def stored_corpus(store: ArticleStore, state: dict, now=None, horizon_hours: float | None = 72) -> StoredCorpus:
@@ -74,13 +81,13 @@ def stored_corpus(store: ArticleStore, state: dict, now=None, horizon_hours: flo
         edge = store.spark.range(1).select(F.date_format(lo, "yyyy-MM-dd")).first()[0]
         terms = recent(store.terms(state, since=edge), now, horizon_hours)
         days = store.term_days(state, since=edge).where(F.col("day") > edge).drop("day")
-        cut = terms.where(F.col("day") == edge).select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.tf")
+        cut = _long(terms.where(F.col("day") == edge))
         days = days.unionByName(corpus_stats(cut)) \
             .unionByName(terms.where(F.col("day") == edge).agg(F.count(F.lit(1)).alias("df")), allowMissingColumns=True)
     stats = days.groupBy("term").agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
     documents = stats.where("term IS NULL").select(F.coalesce(F.sum("df"), F.lit(0))).scalar()
-    counts = terms.select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.tf")
-    return StoredCorpus(counts, stats.where("term IS NOT NULL"), documents)
+    lists = terms.select("id", "terms")
+    return StoredCorpus(_long(lists), stats.where("term IS NOT NULL"), documents, lists)
 
 
 def ingest_into(store: ArticleStore, raw: DataFrame, now=None, horizon_hours: float | None = 72, threshold: float = 0.85,
@@ -93,31 +100,30 @@ def ingest_into(store: ArticleStore, raw: DataFrame, now=None, horizon_hours: fl
     state = store.state()
     if feed is not None and store.is_done(feed, batch_id, state):
         return False
-    raw = raw.checkpoint()
+    raw = written(raw, "raw")
     if now is None and horizon_hours is not None and "ingested_at" in raw.columns:
         now = raw.agg(F.max("ingested_at")).first()[0]
-    batch = exact_deduplicate(with_content_hash(raw)).checkpoint()
+    batch = written(exact_deduplicate(with_content_hash(raw)), "batch")
     articles, sources = store.articles(state), store.sources(state)
-    # The batch's own counts; each document's in one row, as the store keeps them.
-    texts = batch.select((-F.col("seq") - 1).alias("id"), doc_text("title", "content").alias("text")).where("text IS NOT NULL")
-    counts = term_counts(texts, "id", "text").checkpoint()
+    # The batch's own counts, as the store keeps them.
+    texts = batch.select((-F.col("seq") - 1).alias("id"), doc_text("title", "content").alias("_text")).where("_text IS NOT NULL")
+    lists = written(term_lists(spread(one_text_an_id(texts)), "id", "_text"), "terms")
     if state["terms"]:
         known = stored_corpus(store, state, now, horizon_hours)
-        stats = known.stats.unionByName(corpus_stats(counts)).groupBy("term") \
+        stats = known.stats.unionByName(corpus_stats(_long(lists))).groupBy("term") \
             .agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
         documents = known.documents + texts.select(F.count(F.lit(1))).scalar()
-        vectors = document_vectors(known.counts.unionByName(counts), vocabulary(stats, cap), documents)
+        vectors = vectors_of(known.lists.unionByName(lists).select("id", "terms.term", "terms.tf"), documents, cap, stats=stats)
         matches = store_matches(vectors, threshold).checkpoint()
     else:  # nothing stored that a row could be like
         matches = batch.select("seq", F.lit(0).cast("long").alias("store_id"), F.lit(0.0).alias("sim")).limit(0)
     survivors = batch.join(matches.select("seq"), "seq", "left_anti")
     sources = get_or_create_sources(survivors, sources).checkpoint()
-    inserted = insertions(articles, _as_articles(survivors, sources)).checkpoint()
-    arrays = counts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
-    own = texts.select("id").join(arrays, "id", "left") \
-        .select((-F.col("id") - 1).alias("seq"), F.coalesce("terms", F.array().cast("array<struct<term:string,tf:bigint>>")).alias("terms"))
+    inserted = written(insertions(articles, _as_articles(survivors, sources)), "inserted")
     # Articles of an unknown source are no candidates of later batches (J1's inner join).
-    terms = inserted.where("source_id IS NOT NULL").select("seq", "id", "date").join(own, "seq").drop("seq").checkpoint()
+    keys = inserted.where("source_id IS NOT NULL").select((-F.col("seq") - 1).alias("_key"), "id", "date")
+    keys = keys.join(texts.select(F.col("id").alias("_key")), "_key")
+    terms = written(keys.join(lists.withColumnRenamed("id", "_key"), "_key").select("id", "date", "terms"), "terms")
     updates = source_updates(batch, matches, articles).checkpoint()
     store.commit(state, inserted, updates, sources, terms, feed, batch_id)
     return True
