@@ -12,9 +12,10 @@ from ..functions.sentiment import lexicon_from_labels
 from ..functions.stopwords import ENGLISH_STOPWORDS
 from ..operators.feed import date_range
 from ..operators.ingest import rescore_survivors
+from ..operators.simjoin import FEW_IDS
 from ..operators.store import get_or_create_sources
-from ..operators.tfidf import term_counts
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..operators.vectors import one_text_an_id, term_lists
+from ..session import ensure_checkpoint_dir, scratch_path, spread
 from ..sources.tables import ARTICLES_SCHEMA, articles_view, bucket_count, raw_batch_view, read_table, write_bucketed
 from ..sources.versions import ArticleStore
 from ..streaming import ingest as st
@@ -28,16 +29,27 @@ def _day_store(spark, sf_dir) -> ArticleStore:
     store = ArticleStore(spark, scratch_path(spark, "day_store"))
     raw = raw_batch_view(spark, sf_dir)
     sources = get_or_create_sources(raw).checkpoint()
-    rows = (articles_view(spark, sf_dir).join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source", "left")
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    # Read from the documents each time: a copy of the texts would be as large as the store.
+    rows = (articles_view(spark, sf_dir).join(F.broadcast(names) if names.count() <= FEW_IDS else names, "source", "left")
             .withColumn("url", F.lit(None).cast("string")).withColumn("content_hash", F.lit("")).withColumn("alt_sources", F.lit("")))
-    rows = rows.select(*(F.col(c).cast(ARTICLES_SCHEMA[c].dataType) for c in ARTICLES_SCHEMA.names)).checkpoint()
-    counts = term_counts(rows.where("content IS NOT NULL"), "id", "content", ENGLISH_STOPWORDS)
-    terms = counts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
-    terms = rows.select("id", "date").join(terms, "id").checkpoint()
-    store.commit(store.state(), rows, rows.select("id", "alt_sources").limit(0), sources, terms)
+    rows = rows.select(*(F.col(c).cast(ARTICLES_SCHEMA[c].dataType) for c in ARTICLES_SCHEMA.names))
+    store.commit(store.state(), rows, rows.select("id", "alt_sources").limit(0), sources, _day_terms)
     return store
 
 
+def _day_terms(rows):
+    """``(id, date, terms)`` of the articles that have a term, where they are stored.  What the texts of
+    an id hold counts for each of its rows."""
+    rows = rows.where("id IS NOT NULL")
+    texts = rows.where("content IS NOT NULL")
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        lists = term_lists(spread(texts.select(F.struct("id", "date").alias("id"), "content")), "id", "content", ENGLISH_STOPWORDS)
+        return lists.where(F.size("terms") > 0).select("id.id", "id.date", "terms")
+    lists = term_lists(one_text_an_id(texts.select("id", F.col("content").alias("_text"))), "id", "_text", ENGLISH_STOPWORDS)
+    return rows.select("id", "date", "day").join(lists.where(F.size("terms") > 0), "id").hint("rebalance", "day").drop("day")
+
+
 @register("store_date_range", "P9,P4,D4", f"""
 WITH {ARTICLES_CTE.strip()}
 SELECT id, title, strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM articles

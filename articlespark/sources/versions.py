@@ -25,14 +25,20 @@ from __future__ import annotations
 import bisect
 import datetime
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .tables import ARTICLES_SCHEMA, SOURCES_SCHEMA
 
 UNDATED = "undated"
+#: Files of document frequencies in a folder, at most.
+TERM_PARTS = 8
 TERMS_SCHEMA = "id bigint, date timestamp, terms array<struct<term: string, tf: bigint>>, day string"
 TERM_DAYS_SCHEMA = "term string, df bigint, corpus_tf bigint, day string"
 DAY_ARTICLES = T.StructType([*ARTICLES_SCHEMA.fields, T.StructField("day", T.StringType())])
@@ -54,6 +60,30 @@ def cut_spans(rows_of_day: dict[str, int], span_rows: int) -> list[str]:
     return firsts
 
 
+def _day_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(folder, day, term, df, corpus_tf)`` of the rows (day, terms, folder) of each batch; the null term's df is
+    the number of rows."""
+    for batch in batches:
+        day, terms = batch.column(0).dictionary_encode(), batch.column(1)
+        if not len(day):
+            continue
+        of = day.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        entries = terms.flatten()
+        term = entries.field("term").dictionary_encode()
+        n = max(1, len(term.dictionary))
+        key = np.repeat(of, terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) * n + term.indices.to_numpy(zero_copy_only=False)
+        key, at, df = np.unique(key, return_inverse=True, return_counts=True)
+        total = np.zeros(len(key), dtype=np.int64)
+        np.add.at(total, at, entries.field("tf").to_numpy(zero_copy_only=False))
+        days = np.arange(len(day.dictionary))
+        at_day, code = np.concatenate([key // n, days]), pa.array(np.concatenate([key % n, days * 0]), mask=np.arange(len(key) + len(days)) >= len(key))
+        first = np.unique(of, return_index=True)[1]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(2).take(pa.array(first[at_day])), day.dictionary.take(pa.array(at_day)), term.dictionary.take(code),
+            pa.array(np.concatenate([df, np.bincount(of, minlength=len(days))])),
+            pa.array(np.concatenate([total, days * 0]), mask=np.arange(len(key) + len(days)) >= len(key))], names=["folder", "day", "term", "df", "corpus_tf"])
+
+
 class ArticleStore:
     def __init__(self, spark: SparkSession, path: str, day_folders: int = 64, span_rows: int = 20_000):
         self.spark, self.path = spark, path.rstrip("/")
@@ -148,15 +178,16 @@ class ArticleStore:
     def is_done(self, feed: str, batch_id: int, state: dict | None = None) -> bool:
         return (state or self.state())["feeds"].get(feed, -1) >= batch_id
 
-    def _write(self, df: DataFrame, table: str, version: int, firsts: list[str] | None, days: list[str]) -> None:
+    def _write(self, df: DataFrame, table: str, version: int, firsts: list[str] | None, days: list[str], dealt: bool = False) -> None:
         """A table's rows into this version's folders, by day or by the spans that begin with
-        ``firsts``; a large one becomes several files."""
+        ``firsts``; a large one becomes several files.  ``dealt``: a task has the rows of few folders already."""
         by = "day"
         if firsts is not None:
             by = "span"
             spans = self.spark.createDataFrame([(d, self._span(firsts, d)) for d in days], "day string, span string")
             df = df.join(F.broadcast(spans), "day")
-        df.hint("rebalance", by).write.partitionBy(by).mode("overwrite").parquet(f"{self.path}/{table}/version={version}")
+        df = df if dealt else df.hint("rebalance", by)
+        df.write.partitionBy(by).mode("overwrite").parquet(f"{self.path}/{table}/version={version}")
 
     def _span_mates(self, state: dict, days: set[str]) -> set[str]:
         """The stored days that share a span with one of ``days``."""
@@ -166,13 +197,14 @@ class ArticleStore:
         return {d for d, v in stored.items() if str(v) in spans and span(d) in held} if held else set()
 
     def commit(self, state: dict, inserted: DataFrame, updates: DataFrame, sources: DataFrame,
-               terms: DataFrame, feed: str | None = None, batch_id: int = 0) -> dict:
+               terms: DataFrame | Callable[[DataFrame], DataFrame], feed: str | None = None, batch_id: int = 0) -> dict:
         """One batch into the store that ``state`` tells of.
 
         ``inserted``: whole new rows (ARTICLES_SCHEMA); ``updates`` (id, alt_sources):
         changed rows; ``sources``: the dimension after the batch; ``terms``
-        (TERMS_SCHEMA): the term counts of the inserted rows.  All are read more than
-        once, so they should be tables (checkpoints).  Only days with an inserted or
+        (TERMS_SCHEMA): the term counts of the inserted rows, or a function that makes them from
+        these rows (``day`` with them; in a new store as they are stored).  All but the terms are read
+        more than once, so they should be tables or cheap to read again.  Only days with an inserted or
         changed row, and days that share a span with one, are written again."""
         version = state["version"] + 1
         names = ARTICLES_SCHEMA.names
@@ -195,13 +227,23 @@ class ArticleStore:
             self._write(old.select(*names, "day").unionByName(inserted), "articles", version, firsts, sorted(days))
             new["articles"] = {**state["articles"], **{d: version for d in days}}
         if added:
-            counted = terms.withColumn("day", day_of())
-            per_term = counted.select("day", F.explode("terms").alias("t")).groupBy("day", F.col("t.term").alias("term")) \
-                .agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("corpus_tf"))
-            per_day = counted.groupBy("day").agg(F.count(F.lit(1)).alias("df"))
-            self._write(counted, "terms", version, firsts, added)
-            self._write(per_term.unionByName(per_day, allowMissingColumns=True), "term_days", version, firsts, added)
-            new["terms"] = [*state["terms"], [version, sorted(r[0] for r in per_day.select("day").collect())]]
+            stored = False
+            if callable(terms):
+                held = inserted if state["articles"] else self.articles(new)
+                # As many files as cores or more: tasks write what they read, so texts are shuffled once.
+                stored = held is not inserted and len(held._jdf.inputFiles()) >= self.spark.sparkContext.defaultParallelism  # noqa: SLF001
+                terms = terms(held)
+            self._write(terms.withColumn("day", day_of()), "terms", version, firsts, added, dealt=stored)
+            # Counted from what was just written, not made again.
+            schema, by = T._parse_datatype_string(TERMS_SCHEMA), "day" if firsts is None else "span"  # noqa: SLF001
+            known = schema if firsts is None else T.StructType([*schema.fields, T.StructField(by, T.StringType())])
+            counted = self._read("terms", [f"version={version}"], schema, known)
+            ship_package(self.spark)
+            rows = counted.select("day", "terms", F.col(by).alias("folder")).mapInArrow(_day_counts, "folder string, day string, term string, df bigint, corpus_tf bigint")
+            sums = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS))).repartition("folder", "part") \
+                .groupBy("folder", "part", "day", "term").agg(F.sum("df").alias("df"), F.sum("corpus_tf").alias("corpus_tf"))
+            self._write(sums.select("day", "term", "df", "corpus_tf"), "term_days", version, firsts, added, dealt=True)
+            new["terms"] = [*state["terms"], [version, sorted(r[0] for r in counted.select("day").distinct().collect())]]
         sources.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sources/version={version}")  # a small dimension
         new["sources"] = version
         if feed is not None:
