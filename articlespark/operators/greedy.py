@@ -11,7 +11,7 @@ independent set of the similarity graph.  Decided locally, round by round
 
 Decided nodes leave with their edges: every round reads only the edges between nodes
 still undecided, so the edges read fall from round to round and sum up to little more
-than the first.  What is left is checkpointed to the shared checkpoint folder each
+than the first.  What is left is written to the shared checkpoint folder each
 round, so lineage stays short and a lost executor only recomputes one round.  Nodes
 without edges never enter.  It is not connected components: with a~b, b~c and a !~ c, b is
 merged into a and c survives.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 
 
 def resolve(edges: DataFrame, max_rounds: int = 10_000, read: list[int] | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000, read: list[int] | None =
     the number of edges that each round reads.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    live = e = edges.select("lo", "hi").distinct().checkpoint()
+    live = e = written(edges.select("lo", "hi").distinct(), "edges")
     removed = e.select("hi").limit(0)
     for _ in range(max_rounds):
         left = live.count()
@@ -45,8 +45,8 @@ def resolve(edges: DataFrame, max_rounds: int = 10_000, read: list[int] | None =
         roots = live.select("lo").distinct().join(live.select(F.col("hi").alias("lo")), "lo", "left_anti")
         gone = live.join(roots, "lo", "left_semi").select("hi").distinct().checkpoint()
         # a root's neighbours are all gone, so its edges go with theirs
-        live = (live.join(gone, "hi", "left_anti").join(gone.select(F.col("hi").alias("lo")), "lo", "left_anti")
-                .select("lo", "hi").checkpoint())
+        live = written(live.join(gone, "hi", "left_anti").join(gone.select(F.col("hi").alias("lo")), "lo", "left_anti")
+                       .select("lo", "hi"), "edges")
         removed = removed.unionByName(gone)
     else:
         if not live.isEmpty():
